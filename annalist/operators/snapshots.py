@@ -18,6 +18,7 @@ def snapshot_changes(df: DataFrame, key: Sequence[str], snapshot: str, content:
     anything after the last one; ``first`` may name it, else it is looked up together with the last. Rows with a null in key
     or snapshot take no part; an empty table gives no rows. Columns beyond those named are ignored.
 
+    Both sides come from one exchange; rows after the last snapshot are dropped only after the join, so that it can be reused.
     Repeated rows collapse into the set before the shuffle, so a key with very many rows weighs no more than others.
     """
     key = list(key)
@@ -26,10 +27,10 @@ def snapshot_changes(df: DataFrame, key: Sequence[str], snapshot: str, content:
     lo, hi = (edge["lo"] if first is None else first), edge["hi"]
     lo, hi = (lo, hi) if lo is not None and hi is not None else (0, -1)
     states = source.groupBy(*key, F.col(snapshot).alias("_at")).agg(F.collect_set(F.xxhash64(*content)).alias("_set")).select(*key, "_at", F.xxhash64(F.array_sort("_set")).alias("_hash"))
-    before = states.filter(F.col("_at") < hi).select(*(F.col(k).alias(f"_b_{k}") for k in key), (F.col("_at") + step).alias("_b_at"), F.col("_hash").alias("_b_hash"))
+    before = states.select(*(F.col(k).alias(f"_b_{k}") for k in key), (F.col("_at") + step).alias("_b_at"), F.col("_hash").alias("_b_hash"))
     met = states.join(before, [F.col("_at") == F.col("_b_at"), *(F.col(k) == F.col(f"_b_{k}") for k in key)], "full_outer")
     change = F.when(F.col("_b_hash").isNull(), "added").when(F.col("_hash").isNull(), "removed").when(F.col("_hash") != F.col("_b_hash"), "changed")
     return (
         met.select(F.coalesce("_at", "_b_at").alias(snapshot), *(F.coalesce(k, f"_b_{k}").alias(k) for k in key), change.alias("change"))
-        .filter(F.col("change").isNotNull() & (F.col(snapshot) > lo))
+        .filter(F.col("change").isNotNull() & (F.col(snapshot) > lo) & (F.col(snapshot) <= hi))
     )
