@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import tokenizer
+from . import sentences, tokenizer
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids,)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p10_found)}
 SQL: dict[str, str] = {}
