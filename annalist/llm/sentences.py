@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
+
 #: Verdicts on a word before a full stop or on the start of a Thai segment.
 NEVER_FINAL, BEFORE_NUMBER, STARTS, CAN_END = 1, 2, 4, 8
 #: Fixed prior, for corpora too small to tell: words never last in a sentence, and words that announce a number.
@@ -28,6 +30,8 @@ PRIOR_NEVER_FINAL = "dr mr mrs ms prof st sr sra dra mme vgl cf vs им ул с
 PRIOR_BEFORE_NUMBER = "no nr vol p pp bd s ca art pág núm éd ed fig jan feb mar apr jun jul aug sep sept oct nov dec т с стр ص पृ".split()
 #: Least number of occurrences for a verdict, and greatest share of paragraph ends for "never final".
 LEAST, FINAL_SHARE, NUMBER_SHARE, START_SHARE = 30, 0.004, 0.5, 0.03
+#: An opening mark still open so many levels further in is no quotation.
+DEPTH = 64
 #: German words before an ordinal number.
 ORDINAL_AFTER = frozenset("am im dem den der des die das vom zum zur bis seit ab beim ins".split())
 
@@ -115,6 +119,8 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
 
     for m in _QUOTES.finditer(text):
         i, c = m.start(), m.group()
+        if len(stack) > DEPTH:
+            del stack[0]
         while b < len(breaks) and breaks[b] < i:
             stack.clear()
             b += 1
@@ -214,7 +220,9 @@ class _Document:
         lead = self.skip(self.mark_end(start))
         while lead < span[0] and (s := self.span_at(lead)) and s[0] == lead and not s[2]:
             lead = self.skip(s[1] + 1)
-        introduced = bool(text[lead : span[0]].strip("¿¡ \t\n\xa0"))
+        while lead < span[0] and (text[lead] in "¿¡" or text[lead].isspace()):
+            lead += 1
+        introduced = lead < span[0]
         if span[2]:
             return not introduced or not nxt.isalpha() or nxt.isupper() or bool(_CJK.match(nxt))
         if nxt in "とって라이고":
@@ -248,9 +256,10 @@ class _Document:
             num = regex.search(r"[\d.,]+$", head).group()
             at = a - len(num)
             whole = num.isdigit()
-            if whole and len(num) <= 3 and self.skip(start) == at and (at == 0 or "\n" in text[:at][-(at - len(text[:at].rstrip())) or at :] or self.lists):
+            first = self.skip(start) == at
+            if whole and first and len(num) <= 3 and (at == 0 or self.lists or "\n" in text[max(0, at - 20) : at]):
                 return False
-            if whole and at == self.skip(start) and len(num) <= 2 and not nxt.isdigit():
+            if whole and first and len(num) <= 2 and not nxt.isdigit():
                 return False
             if whole and _DATE_CHAIN.search(head) and (nxt.isdigit() and regex.match(r"\d{1,2}\.", text[k : k + 3]) or len(num) <= 2 and regex.search(r"\d{4}\.\s\d{1,2}\.\s\d{1,2}$", head)) and regex.search(r"\p{Hangul}", text[max(0, a - 200) : k + 40]):
                 return False
@@ -292,7 +301,7 @@ class _Document:
         if got != "." or not (last.islower() or last.isdigit() or last in "”»)\"" or _CJK.match(last)):
             return False
         if _CJK.match(nxt):
-            return text.count(" ", start, a) > 2
+            return text.count(" ", max(start, a - 400), a) > 2
         return nxt in "“„«»\"¿¡—(" or nxt.isupper() and (len(word) == 2 and (word[1].islower() or word[1] in " .'’"))
 
     def line_break(self, start: int, a: int, e: int) -> bool:
@@ -300,7 +309,7 @@ class _Document:
         text = self.text
         if _BLANK_LINE.search(text[a:e]):
             return True
-        nxt, tail = text[e], text[start:a]
+        nxt, tail = text[e], text[max(start, a - 400) : a]
         if self.marked(e):
             return True
         if _THAI.match(text, e) and regex.search(r"\p{Thai}", tail):
@@ -326,7 +335,7 @@ class _Document:
     def space(self, start: int, a: int, e: int) -> bool:
         """Whether a space in Thai text ends a sentence."""
         text = self.text
-        if not regex.search(r"\p{Thai}", text[start:a]):
+        if not regex.search(r"\p{Thai}", text[max(start, a - 100) : a]):
             return False
         if text[a - 1] in "”»\"’" and _THAI.match(text, e):
             return text[e] in _OPENING
@@ -429,7 +438,7 @@ def corpus_verdicts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=schema.names)
 
-    seen = df.select(key, text).mapInArrow(run, schema)
+    seen = checkpoint(df.select(key, text).mapInArrow(run, schema))
     totals = seen.groupBy("kind").agg(*(F.sum(c).alias(c) for c in _EVIDENCE))
     f, o, s, d, c = (F.col(x) for x in _EVIDENCE)
     total, thai = f + o + s + d + c, F.col("kind").startswith("th:")
