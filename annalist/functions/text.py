@@ -49,17 +49,33 @@ def match_key(text: Column | str) -> Column:
     return squeeze(F.regexp_replace(normalize(clean_prediction(text)), NOT_WORD, ""))
 
 
-def candidates(prediction: Column | str) -> Column:
-    """Answers a prediction may mean: the whole, without brackets, up to the first comma; equal ones once, in that order."""
+def candidate_forms(prediction: Column | str) -> Column:
+    """The whole answer, without brackets, and up to the first comma; equal and empty ones included."""
     line = first_line(_c(prediction))
     tail = F.regexp_extract(line, r"(?i)(?:^|[^\p{L}\p{N}_])answer:[\s\p{Z}]*(.*)$", 1)
     whole = strip_edges(squeeze(F.when(tail != "", tail).otherwise(line)))
-    bare = squeeze(F.regexp_replace(whole, r"\([^)]*\)", ""))
-    comma = squeeze(F.substring_index(whole, ",", 1))
-    given = F.array(*(F.struct(x.alias("text"), match_key(x).alias("key")) for x in (whole, bare, comma)))
-    kept = F.filter(given, lambda x: x["key"] != "")
-    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.transform(first, lambda x: x["text"])
+    return F.array(whole, squeeze(F.regexp_replace(whole, r"\([^)]*\)", "")), squeeze(F.substring_index(whole, ",", 1)))
+
+
+def candidates(prediction: Column | str) -> Column:
+    """Answers a prediction may mean: the whole, without brackets, up to the first comma; equal ones once, in that order."""
+    given = F.transform(candidate_forms(prediction), lambda f: F.struct(f.alias("text"), match_key(f).alias("key")))
+    once = F.aggregate(given, F.array().cast("array<struct<text:string,key:string>>"), lambda out, x: F.when((x["key"] == "") | F.exists(out, lambda y: y["key"] == x["key"]), out).otherwise(F.array_append(out, x)))
+    return F.transform(once, lambda x: x["text"])
+
+
+def prepared(prediction: Column | str) -> Column:
+    """What matching needs of each candidate form: its key, its plain normal form, the keys of its listed parts. Keep it as a column, so that it is made once."""
+    parts = lambda f: F.transform(F.split(clean_prediction(f), r"[,;/|]"), match_key)
+    return F.transform(candidate_forms(prediction), lambda f: F.struct(match_key(f).alias("key"), normalize(f).alias("plain"), parts(f).alias("parts")))
+
+
+def meets(ready: Column, gold_key: Column, gold_plain: Column, mode: str = "relaxed") -> Column:
+    """Whether any prepared candidate matches the gold answer, given its key and plain normal form; empty candidates never do."""
+    if mode == "exact":
+        return F.exists(ready, lambda s: (s["key"] != "") & (s["plain"] == gold_plain))
+    hit = lambda s: (s["key"] == gold_key) | s["key"].contains(gold_key) | gold_key.contains(s["key"]) | F.array_contains(s["parts"], gold_key)
+    return (gold_key != "") & F.exists(ready, lambda s: (s["key"] != "") & hit(s))
 
 
 def match_exact(prediction: Column | str, gold: Column | str) -> Column:
@@ -74,10 +90,8 @@ def match_relaxed(prediction: Column | str, gold: Column | str) -> Column:
 
 
 def is_match(prediction: Column | str, gold: Column | str, mode: str = "relaxed") -> Column:
-    """Whether any candidate of the prediction, or the prediction itself if it has none, matches the gold answer."""
-    test = match_relaxed if mode == "relaxed" else match_exact
-    found = candidates(prediction)
-    return F.when(F.size(found) > 0, F.exists(found, lambda c: test(c, _c(gold)))).otherwise(test(prediction, gold))
+    """Whether any candidate of the prediction matches the gold answer."""
+    return meets(prepared(prediction), match_key(gold), normalize(gold), mode)
 
 
 def word_tokens(text: Column | str) -> Column:
@@ -93,7 +107,7 @@ def char_ngrams(text: Column | str, n: int = 3) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two arrays; give columns, not expressions, as each is read for every element."""
     count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
 

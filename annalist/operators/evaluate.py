@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, is_match, overlap, word_tokens
+from ..functions.text import char_ngrams, match_key, meets, normalize, overlap, prepared, word_tokens
 
 #: Texts of the prompt's lines (fixed values).
 USER, ASSISTANT = "User: ", "Assistant: "
@@ -86,20 +86,30 @@ def answer_in_turn(turns: DataFrame, generate: Callable[[list[str]], list[list[s
 
 def score(turns: DataFrame, mode: str = "relaxed", semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Adds correct1, correctk, has_present, drift1, driftk and the error label of each turn with ``answer``, ``preds``, ``present_day_answer``."""
-    match = lambda p, g: is_match(p, g, mode) | (semantic(p, g) if semantic else F.lit(False))
-    top = F.coalesce(F.try_element_at("preds", F.lit(1)), F.lit(""))
-    gold, now = F.col("answer"), F.col("present_day_answer")
-    out = turns.withColumns({"pred": top, "correct1": match(top, gold), "correctk": F.coalesce(F.exists("preds", lambda p: match(p, gold)), F.lit(False)), "has_present": F.coalesce(now != "", F.lit(False))})
-    drifts = lambda ok, hit: F.col("has_present") & ~F.col(ok) & F.coalesce(hit, F.lit(False))
-    out = out.withColumns({"drift1": drifts("correct1", match(top, now)), "driftk": drifts("correctk", F.exists("preds", lambda p: match(p, now)))})
+    ready = turns.withColumns(
+        {
+            "pred": F.coalesce(F.try_element_at("preds", F.lit(1)), F.lit("")),
+            "_ready": F.coalesce(F.transform("preds", prepared), F.array()),
+            "_gold": F.struct(match_key("answer").alias("key"), normalize("answer").alias("plain")),
+            "_now": F.struct(match_key("present_day_answer").alias("key"), normalize("present_day_answer").alias("plain")),
+            "has_present": F.coalesce(F.col("present_day_answer") != "", F.lit(False)),
+        }
+    )
+    near = lambda preds, gold: F.exists(preds, lambda p: semantic(p, F.col(gold))) if semantic else F.lit(False)
+    hit = lambda n, to, gold: F.exists(F.slice("_ready", 1, n), lambda r: meets(r, F.col(f"{to}.key"), F.col(f"{to}.plain"), mode)) | near(F.slice("preds", 1, n), gold)
+    every = 1 << 30
+    out = ready.withColumns({"correct1": hit(1, "_gold", "answer"), "correctk": hit(every, "_gold", "answer")})
+    drifts = lambda ok, n: F.col("has_present") & ~F.col(ok) & F.coalesce(hit(n, "_now", "present_day_answer"), F.lit(False))
+    out = out.withColumns({"drift1": drifts("correct1", 1), "driftk": drifts("correctk", every)}).drop("_ready", "_gold", "_now")
     label = F.when(F.col("correct1"), "correct").when(F.col("drift1"), "drift").when(~F.col("has_present"), "hallucination").otherwise("wrong_answer")
     return out.withColumn("error_label", label)
 
 
 def overlaps(scored: DataFrame) -> DataFrame:
     """Adds token and three-character counts of the overlap of prediction and gold answer."""
-    tp, tg, cp, cg = word_tokens("pred"), word_tokens("answer"), char_ngrams("pred"), char_ngrams("answer")
-    return scored.withColumns({"tok_tp": overlap(tp, tg), "tok_pred": F.size(tp), "tok_gold": F.size(tg), "chr_tp": overlap(cp, cg), "chr_pred": F.size(cp), "chr_gold": F.size(cg)})
+    ready = scored.withColumns({"_tp": word_tokens("pred"), "_tg": word_tokens("answer"), "_cp": char_ngrams("pred"), "_cg": char_ngrams("answer")})
+    sizes = {"tok_pred": F.size("_tp"), "tok_gold": F.size("_tg"), "chr_pred": F.size("_cp"), "chr_gold": F.size("_cg")}
+    return ready.withColumns({"tok_tp": overlap(F.col("_tp"), F.col("_tg")), "chr_tp": overlap(F.col("_cp"), F.col("_cg")), **sizes}).drop("_tp", "_tg", "_cp", "_cg")
 
 
 def ratio(a: Column, b: Column) -> Column:

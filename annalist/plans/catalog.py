@@ -19,7 +19,7 @@ from ..operators.labels import attach_labels, build_labels, known_properties, on
 from ..operators.sampling import cap_rows, stratified_sample
 from ..operators.truth import best_rows, best_truth, build_truth, rank_score, with_days
 from ..schemas import QUALIFIERS
-from ..session import table
+from ..session import checkpoint, table
 from ..sources.readers import read_chains
 from ..sources.sinks import write_jsonl
 from . import sqltext as S
@@ -408,9 +408,15 @@ def change_point_chains(spark, folder):
     return _turns(G.change_point(rich_best(spark, folder)[0]))
 
 
+def _yearly_best(spark: SparkSession, folder: str) -> DataFrame:
+    """Best rows at each first of January, with and without dates, with labels."""
+    best = best_truth(build_truth(base_claims(spark, folder), ("01-01",)))
+    return known_properties(attach_labels(best, clean_labels(spark, folder), clean=False)).withColumn("year", F.col("snapshot_year"))
+
+
 @query()
 def multi_turn_chains(spark, folder):
-    return _turns(G.multi_turn_chain(rich_best(spark, folder)[1]))
+    return _turns(G.multi_turn_chain(_yearly_best(spark, folder)))
 
 
 @query()
@@ -421,20 +427,19 @@ def cross_anchor_chains(spark, folder):
 
 @query()
 def multihop_questions(spark, folder):
-    labels = clean_labels(spark, folder)
-    best = attach_labels(best_truth(build_truth(base_claims(spark, folder), ("01-01",))), labels, clean=False).withColumn("year", F.col("snapshot_year"))
+    best = _yearly_best(spark, folder)
     return G.multihop_2(best).unionByName(G.multihop_3(best)).select("family", *_KEYS)
 
 
 def _made(spark, folder) -> tuple[DataFrame, DataFrame]:
-    rich, best = rich_best(spark, folder)
+    rich, best = (checkpoint(d) for d in rich_best(spark, folder))
     return G.all_flat(best, rich), G.all_chains(best, rich)
 
 
 @query()
 def flat_dataset(spark, folder):
     """All flat questions with present-day answers."""
-    rich, best = rich_best(spark, folder)
+    rich, best = (checkpoint(d) for d in rich_best(spark, folder))
     last = best.agg(F.max("anchor_date").alias("_last"))
     present = best.join(F.broadcast(last), F.col("anchor_date") == F.col("_last"), "left_semi")
     return annotate_present(G.all_flat(best, rich), present)
