@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
+
 _ALIGNED = T.ArrayType(T.StructType([T.StructField("col", T.IntegerType()), T.StructField("sub", T.IntegerType()), T.StructField("token", T.StringType())]))
 #: Cells up to which two token lists are aligned by the full table; longer ones by their longest common blocks.
 CELLS = 1_000_000
@@ -115,27 +117,31 @@ def consensus(df: DataFrame, group: Sequence[str], value: str, weight: str | Col
     """group, ``value`` (the survivor), ``n_rows``, ``n_values``, ``distance`` (token edits between survivor and consensus).
 
     ``value`` is a text column; null values have no vote and a group of nulls only has no row. Nulls in the group columns are a
-    group of their own. ``weight`` is numeric, or any orderable column with ``dominant``. Ties: of tokens the smallest, of
-    values at one distance the one of greater weight, then the smallest (a dominant weight must differ between values). Empty texts
-    are values without tokens. Other columns are ignored; an empty table gives no rows.
+    group of their own. ``weight`` is numeric; its sum counts, or with ``dominant`` its maximum. Ties: of tokens the smallest,
+    of values at one distance the one of greater weight, then the smallest. Empty texts are values without tokens. Other columns
+    are ignored; an empty table gives no rows.
     """
     group = list(group)
-    w = F.col(weight) if isinstance(weight, str) else weight
     total = F.max if dominant else F.sum
-    given = df.select(*group, F.col(value).alias("_value"), w.alias("_w")).filter(F.col("_value").isNotNull())
-    vals = given.groupBy(*group, "_value").agg(total("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
-    best = vals.groupBy(*group).agg(F.max_by("_value", F.struct("_w", "_value")).alias("_guide"), F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"), total("_w").alias("_all"))
-    single = best.filter(F.col("n_values") == 1).select(*group, F.col("_guide").alias("value"), "n_rows", "n_values", F.lit(0).alias("distance"))
+    given = df.select(*group, F.col(value).alias("_value"), (F.col(weight) if isinstance(weight, str) else weight).alias("_w")).filter(F.col("_value").isNotNull())
+    vals = checkpoint(given.groupBy(*group, "_value").agg(total("_w").alias("_w"), F.count(F.lit(1)).alias("_n")))
+    best = vals.groupBy(*group).agg(F.min_by("_value", F.struct(-F.col("_w"), F.col("_value"))).alias("_guide"), F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"), total("_w").alias("_all"))
+    best = checkpoint(best)
     contested = best.filter(F.col("n_values") > 1)
-    met = vals.alias("v").join(contested.alias("b"), [F.col(f"v.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]).select(*(F.col(f"v.{g}").alias(g) for g in group), "_value", "_w", "_guide", "_all")
-    votes = met.select(*group, "_w", "_all", F.explode(_align("_guide", "_value")).alias("_t")).groupBy(*group, F.col("_t.col").alias("_c"), F.col("_t.sub").alias("_s"), F.col("_t.token").alias("_t")).agg(total("_w").alias("_w"), F.first("_all").alias("_all"))
-    chosen = votes.groupBy(*group, "_c", "_s").agg(F.max("_w").alias("_top"), F.collect_set(F.struct("_w", "_t")).alias("_set"), F.first("_all").alias("_all"))
-    token = F.array_min(F.transform(F.filter("_set", lambda x: x["_w"] == F.col("_top")), lambda x: x["_t"]))
-    kept = chosen.filter((F.col("_s") == 0) if dominant else (F.col("_s") == 0) | (F.col("_top") * 2 > F.col("_all")))
-    line = kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_c", "_s", token.alias("_t")))).alias("_line"))
+    met = checkpoint(_beside(vals, contested, group).select(*group, "_value", "_w", "_guide", "_all", "n_rows", "n_values"))
+    votes = met.select(*group, "_w", "_all", F.explode(_align("_guide", "_value")).alias("_t")).groupBy(*group, F.col("_t.col").alias("_c"), F.col("_t.sub").alias("_s"), F.col("_t.token").alias("_t")).agg(total("_w").alias("_w"), F.max("_all").alias("_all"))
+    chosen = votes.groupBy(*group, "_c", "_s").agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col("_t").alias("t"))).alias("_top"), F.max("_all").alias("_all"))
+    kept = chosen.filter((F.col("_s") == 0) if dominant else (F.col("_s") == 0) | (F.col("_top.w") * -2 > F.col("_all")))
+    line = kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_c", "_s", F.col("_top.t").alias("_t")))).alias("_line"))
     agreed = line.select(*group, F.filter(F.transform("_line", lambda x: x["_t"]), lambda t: t != "").alias("_consensus"))
-    near = met.alias("v").join(agreed.alias("a"), [F.col(f"v.{g}").eqNullSafe(F.col(f"a.{g}")) for g in group]).select(*(F.col(f"v.{g}").alias(g) for g in group), "_value", "_w", _distance("_consensus", "_value").alias("_d"))
-    nearest = F.max_by("_value", F.struct(-F.col("_d"), F.col("_w"))) if dominant else F.min_by("_value", F.struct("_d", -F.col("_w"), "_value"))
-    first = near.groupBy(*group).agg(F.min("_d").alias("distance"), nearest.alias("value"))
-    counted = first.alias("f").join(contested.alias("b"), [F.col(f"f.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group])
-    return single.unionByName(counted.select(*(F.col(f"f.{g}").alias(g) for g in group), "value", "n_rows", "n_values", "distance"))
+    near = _beside(met, agreed, group).select(*group, "_value", "_w", "n_rows", "n_values", _distance("_consensus", "_value").alias("_d"))
+    first = near.groupBy(*group).agg(F.min(F.struct("_d", (-F.col("_w")).alias("w"), "_value")).alias("_f"), F.max("n_rows").alias("n_rows"), F.max("n_values").alias("n_values"))
+    found = first.select(*group, F.col("_f._value").alias("value"), "n_rows", "n_values", F.col("_f._d").alias("distance"))
+    single = best.filter(F.col("n_values") == 1).select(*group, F.col("_guide").alias("value"), "n_rows", "n_values", F.lit(0).alias("distance"))
+    return single.unionByName(found)
+
+
+def _beside(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of the one row of ``right`` for its group; nulls in the group meet nulls."""
+    other = right.select(*(F.col(g).alias(f"_g_{g}") for g in group), *(c for c in right.columns if c not in group))
+    return left.join(other, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]).drop(*(f"_g_{g}" for g in group))

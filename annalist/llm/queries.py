@@ -23,22 +23,25 @@ def _trusted(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "temporal_facts").select(
         F.col("anchor_date").alias("a"), item_number("subject_qid").alias("s"), property_number("pid").cast("int").alias("p"), item_number("value_qid").alias("v"), trust.alias("trust"), present.alias("present"), "built_at", "start_date", "end_date"
     )
-    return rows.dropna(subset=_GROUP).withColumn("w", F.struct("trust", "present", "built_at", -F.col("v")))
+    built = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '0001-01-01 00:00:00', built_at)")
+    order = (F.col("trust") * 4 + F.col("present")).cast("bigint") * F.lit(1 << 57) + F.coalesce(built, F.lit(0))
+    return rows.dropna(subset=_GROUP).withColumn("w", order)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Survivors by consensus whose votes follow the order of the rows: first the value, then, among the rows with it, rank and dates."""
     rows = _trusted(spark, folder)
-    value = F.coalesce(item_id("v"), F.lit(""))
+    number = F.lpad(F.col("v").cast("string"), 18, "0")  # of one length, so that the smallest text is the smallest number
+    value = F.coalesce(number, F.lit(""))
     best = checkpoint(consensus.consensus(rows.withColumn("value", value), _GROUP, "value", "w", dominant=True).filter("n_rows > 1").select(*_GROUP, F.col("value").alias("best")))
     names = F.create_map(F.lit(2), F.lit("preferred"), F.lit(1), F.lit("normal"), F.lit(0), F.lit("deprecated"))
-    of_best = rows.join(best, _GROUP).filter(value == F.col("best"))
     fields = {"rank": names[F.col("trust")], "start_date": F.col("start_date").cast("string"), "end_date": F.col("end_date").cast("string")}
-    long = of_best.select(*_GROUP, F.struct("w", *(F.coalesce(c, F.lit("")).alias(f"_{n}") for n, c in fields.items())).alias("w"), F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()))).alias("f")).select(*_GROUP, "w", "f.*")
+    of_best = rows.join(best, _GROUP).filter(value == F.col("best"))
+    long = of_best.select(*_GROUP, "w", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()))).alias("f")).select(*_GROUP, "w", "f.*")
     kept = consensus.consensus(long, [*_GROUP, "field"], "value", "w", dominant=True)
     wide = kept.groupBy(*_GROUP).agg(*(F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in fields))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return best.join(wide, _GROUP).select(F.col("a").cast("string").alias("anchor_date"), item_id("s").alias("subject_qid"), property_id("p").alias("pid"), F.col("best").alias("value_qid"), "rank", text("start_date"), text("end_date"))
+    return best.join(wide, _GROUP).select(F.col("a").cast("string").alias("anchor_date"), item_id("s").alias("subject_qid"), property_id("p").alias("pid"), F.when(F.col("best") == "", "").otherwise(item_id(F.col("best").cast("bigint"))).alias("value_qid"), "rank", text("start_date"), text("end_date"))
 
 
 P6_FOUND_SQL = f"""
