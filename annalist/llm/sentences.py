@@ -3,8 +3,8 @@
 What a full stop, a line break or (in Thai) a space means is settled from unambiguous occurrences: first those elsewhere in
 the same document (words that also occur in lower case, line breaks in the middle of a phrase, marks of lists and speakers),
 then, for what the document leaves open, those of the whole corpus. The corpus stage counts for each word before a full stop
-what follows it: a small letter, a digit, a comma, a capital, or the end of a paragraph. A word that hardly ever stands at the end of
-a paragraph cannot end a sentence (titles, "cf."); one followed mostly by digits announces a number ("vol."). For Thai segments it
+what follows it: a small letter, a digit, a comma, a capital, or the end of a paragraph. A word that stands at the end of a paragraph far
+more seldom than words before a capital do in this corpus cannot end a sentence (titles), nor one after which sentences mostly go on ("cf."); one followed mostly by digits announces a number ("vol."). For Thai segments it
 counts how often they begin a line. Verdicts reach a document by a join on the words it has, so nothing that grows with the
 corpus is sent to every worker. Which marks end a sentence depends on the script of the text before them.
 """
@@ -28,8 +28,10 @@ NEVER_FINAL, BEFORE_NUMBER, STARTS, CAN_END = 1, 2, 4, 8
 #: Fixed prior, for corpora too small to tell: words never last in a sentence, and words that announce a number.
 PRIOR_NEVER_FINAL = "dr mr mrs ms prof st sr sra dra mme vgl cf vs им ул см д डॉ ee".split()
 PRIOR_BEFORE_NUMBER = "no nr vol p pp bd s ca art pág núm éd ed fig jan feb mar apr jun jul aug sep sept oct nov dec т с стр ص पृ".split()
-#: Least number of occurrences for a verdict, and greatest share of paragraph ends for "never final".
-LEAST, FINAL_SHARE, NUMBER_SHARE, START_SHARE = 30, 0.004, 0.5, 0.03
+#: Least number of occurrences for a verdict; greatest share of paragraph ends and least share of small letters, digits and commas after a
+#: word that is an abbreviation by these; least number of paragraph ends to be expected of a word that has almost none; least share of
+#: digits after a word before numbers; least share of line starts of a Thai segment that begins sentences.
+LEAST, FINAL_SHARE, GOES_ON, EXPECTED, NUMBER_SHARE, START_SHARE = 30, 0.004, 0.3, 7, 0.5, 0.03
 #: An opening mark still open so many levels further in is no quotation.
 DEPTH = 64
 #: German words before an ordinal number.
@@ -81,13 +83,15 @@ def evidence(text: str) -> dict[str, list[int]]:
     return found
 
 
-def verdict(kind: str, final: int, other: int, small: int, digit: int, comma: int) -> int:
-    """Flags of a type from its counts over the corpus, the prior included."""
+def verdict(kind: str, final: int, other: int, small: int, digit: int, comma: int, base: float) -> int:
+    """Flags of a type from its counts over the corpus, the prior included; ``base`` is the corpus' share of paragraph ends among ends and capitals."""
     if kind.startswith("th:"):
         return STARTS if final >= max(2, START_SHARE * (final + other)) else 0
     total, flags = final + other + small + digit + comma, 0
+    goes_on = small + digit + comma >= GOES_ON * total and final <= FINAL_SHARE * total
+    expected = base * (final + other)
     if total >= LEAST:
-        flags |= NEVER_FINAL if final <= FINAL_SHARE * total else CAN_END
+        flags |= NEVER_FINAL if goes_on or expected >= EXPECTED and final <= 0.1 * expected else CAN_END
     elif kind in PRIOR_NEVER_FINAL:
         flags |= NEVER_FINAL
     open_ = final + other + digit
@@ -302,6 +306,8 @@ class _Document:
             return False
         if _CJK.match(nxt):
             return text.count(" ", max(start, a - 400), a) > 2
+        if nxt.isdigit():
+            return last.islower() and text.count(" ", max(start, a - 400), a) > 2 and bool(regex.match(r"\d+[\p{Han}\p{Hangul}]", text[k : k + 12]))
         return nxt in "“„«»\"¿¡—(" or nxt.isupper() and (len(word) == 2 and (word[1].islower() or word[1] in " .'’"))
 
     def line_break(self, start: int, a: int, e: int) -> bool:
@@ -443,8 +449,11 @@ def corpus_verdicts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
     f, o, s, d, c = (F.col(x) for x in _EVIDENCE)
     total, thai = f + o + s + d + c, F.col("kind").startswith("th:")
     known, early = total >= LEAST, total < LEAST
+    ends = totals.filter(~F.col("kind").startswith("th:")).agg(F.sum("final").alias("f"), F.sum("other").alias("o")).first()
+    expected = F.lit((ends["f"] or 0) / max(1, (ends["f"] or 0) + (ends["o"] or 0))) * (f + o)
+    never = ((s + d + c >= GOES_ON * total) & (f <= FINAL_SHARE * total)) | ((expected >= EXPECTED) & (f <= 0.1 * expected))
     word = (
-        F.when(known & (f <= FINAL_SHARE * total), NEVER_FINAL).when(known, CAN_END).when(F.col("kind").isin(PRIOR_NEVER_FINAL), NEVER_FINAL).otherwise(0)
+        F.when(known & never, NEVER_FINAL).when(known, CAN_END).when(F.col("kind").isin(PRIOR_NEVER_FINAL), NEVER_FINAL).otherwise(0)
         + F.when(((d >= 3) & (d >= NUMBER_SHARE * (f + o + d))) | (early & F.col("kind").isin(PRIOR_BEFORE_NUMBER)), BEFORE_NUMBER).otherwise(0)
     )
     starts = F.when(f >= F.greatest(F.lit(2), START_SHARE * (f + o)), STARTS).otherwise(0)
