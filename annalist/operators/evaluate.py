@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import char_ngrams, match_key, meets, normalize, overlap, prepared, word_tokens
 
@@ -65,7 +66,7 @@ def generate_predictions(prompts: DataFrame, generate: Callable[[list[str]], lis
             got = [p[:k] for i in range(0, len(texts), batch) for p in generate(texts[i : i + batch])]
             yield part.assign(preds=pd.Series(got, index=part.index, dtype=object))
 
-    return prompts.mapInPandas(run, prompts.schema.add("preds", "array<string>"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("preds", T.ArrayType(T.StringType()))]))
 
 
 def answer_in_turn(turns: DataFrame, generate: Callable[[list[str]], list[list[str]]], system: str = "") -> DataFrame:
@@ -81,7 +82,7 @@ def answer_in_turn(turns: DataFrame, generate: Callable[[list[str]], list[list[s
         return pd.DataFrame(out, columns=["chain_id", "turn_index", "preds"])
 
     plain = turns.select("chain_id", "turn_index", "question")
-    return plain.groupBy("chain_id").applyInPandas(run, plain.select("chain_id", "turn_index").schema.add("preds", "array<string>"))
+    return plain.groupBy("chain_id").applyInPandas(run, T.StructType([plain.schema["chain_id"], plain.schema["turn_index"], T.StructField("preds", T.ArrayType(T.StringType()))]))
 
 
 def score(turns: DataFrame, mode: str = "relaxed", semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:

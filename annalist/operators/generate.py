@@ -295,7 +295,7 @@ def multi_turn_chain(best: DataFrame, seed: str | int = 42, least: int = 3, most
                 out.append(told if len(told) >= least else None)
             yield part.drop(columns=["rows"]).assign(turns=pd.Series(out, index=part.index, dtype=object))
 
-    told = groups.withColumnRenamed("_rows", "rows").mapInPandas(run, groups.select(*keys).schema.add("turns", shape))
+    told = groups.withColumnRenamed("_rows", "rows").mapInPandas(run, T.StructType([*groups.select(*keys).schema.fields, T.StructField("turns", shape)]))
     return chains(told.filter(F.col("turns").isNotNull()), "multi_turn_chain")
 
 

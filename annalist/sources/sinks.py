@@ -62,5 +62,9 @@ def write_manifest(path: str, **about) -> None:
 
 
 def is_done(path: str) -> bool:
-    """Whether an output was written to its end (Spark's success marker)."""
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+    """Whether an output was written to its end: Spark's success marker, or for a partition (``.../key=value``) that it is there.
+
+    A write that replaces single partitions leaves no marker; it moves each finished partition into place at its commit.
+    """
+    partition = "=" in os.path.basename(path.rstrip("/")) and os.path.isdir(path) and any(n.endswith(".parquet") or "=" in n for n in os.listdir(path))
+    return os.path.exists(os.path.join(path, "_SUCCESS")) or partition
