@@ -175,9 +175,9 @@ def date_list_min_max(spark, folder):
     return table(spark, folder, "claims").select("snapshot_year", "subject_qid", "pid", "value_qid", first_day("q_start_time").alias("first_day"), last_day("q_end_time").alias("last_day"), F.size(days_of("q_point_in_time")).alias("n_days"))
 
 
-@query("SELECT anchor_date, subject_qid, pid, value_qid, CAST(year(COALESCE(pit_date, start_date, end_date)) AS INT) AS year FROM temporal_facts", "anchor_date")
+@query("SELECT anchor_date, subject_qid, pid, value_qid, CAST(COALESCE(year(COALESCE(pit_date, start_date, end_date)), 0) AS INT) AS year FROM temporal_facts", "anchor_date")
 def year_coalesce(spark, folder):
-    return table(spark, folder, "temporal_facts").select("anchor_date", "subject_qid", "pid", "value_qid", scope_year("pit_date", "start_date", "end_date").alias("year"))
+    return table(spark, folder, "temporal_facts").select("anchor_date", "subject_qid", "pid", "value_qid", F.coalesce(scope_year("pit_date", "start_date", "end_date"), F.lit(0)).alias("year"))
 
 
 # Joins
