@@ -83,13 +83,13 @@ def rich_best(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 # Truth at anchor dates
 
-MONTH_DAYS = ("01-01", "07-01")
-_TRUTH = S.truth(MONTH_DAYS)
+# The SQL below has only these two anchors, the queries have all of ``build_truth``.
+_TRUTH = S.truth(("01-01", "07-01"))
 _DATED = ["snapshot_year", "anchor_date", "subject_qid", "pid", "value_qid", "rank", "rank_score", "start_date", "end_date", "pit_date"]
 
 
 def _truth(spark: SparkSession, folder: str, kind: str, best: bool) -> DataFrame:
-    rows = build_truth(base_claims(spark, folder), MONTH_DAYS).filter(F.col("truth_type") == kind)
+    rows = build_truth(base_claims(spark, folder)).filter(F.col("truth_type") == kind)
     return (best_truth(rows) if best else rows).select(*(_DATED if kind == "temporal" else _DATED[:7]))
 
 
@@ -191,13 +191,13 @@ def complement_pairs(spark, folder):
     return complement_join(best, ["anchor_date", "subject_label"]).select("anchor_date", "subject_label", "pid", "value_label", "b_pid", "b_value_label")
 
 
-_YEARLY = S.truth(("01-01",))
+_YEARLY = S.truth(("01-01",))  # the SQL has only the first of January
 _NAMED = f"{_YEARLY}, {S.LABELS}, named AS (SELECT DISTINCT b.anchor_date, s.label AS subject_label, b.pid, v.label AS value_label FROM best b JOIN lab s ON s.id = b.subject_qid JOIN lab v ON v.id = b.value_qid)"
 
 
 def _named_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Best rows at each first of January by labels; statements with and without dates."""
-    best = best_truth(build_truth(base_claims(spark, folder), ("01-01",)))
+    """Best rows at every anchor by labels; statements with and without dates."""
+    best = best_truth(build_truth(base_claims(spark, folder)))
     return attach_labels(best, clean_labels(spark, folder), clean=False).select("anchor_date", "subject_label", "pid", "value_label").distinct()
 
 
@@ -408,15 +408,15 @@ def change_point_chains(spark, folder):
     return _turns(G.change_point(rich_best(spark, folder)[0]))
 
 
-def _yearly_best(spark: SparkSession, folder: str) -> DataFrame:
-    """Best rows at each first of January, with and without dates, with labels."""
-    best = best_truth(build_truth(base_claims(spark, folder), ("01-01",)))
+def _anchor_best(spark: SparkSession, folder: str) -> DataFrame:
+    """Best rows at every anchor, with and without dates, with labels."""
+    best = best_truth(build_truth(base_claims(spark, folder)))
     return known_properties(attach_labels(best, clean_labels(spark, folder), clean=False)).withColumn("year", F.col("snapshot_year"))
 
 
 @query()
 def multi_turn_chains(spark, folder):
-    return _turns(G.multi_turn_chain(_yearly_best(spark, folder)))
+    return _turns(G.multi_turn_chain(_anchor_best(spark, folder)))
 
 
 @query()
@@ -427,7 +427,7 @@ def cross_anchor_chains(spark, folder):
 
 @query()
 def multihop_questions(spark, folder):
-    best = _yearly_best(spark, folder)
+    best = _anchor_best(spark, folder)
     return G.multihop_2(best).unionByName(G.multihop_3(best)).select("family", *_KEYS)
 
 

@@ -4,6 +4,7 @@ import bz2
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from annalist.operators import claims as C
 from annalist.operators import evaluate as E
 from annalist.operators import generate as G
 from annalist.operators import joins, labels, sampling, truth
+from annalist.plans import catalog
 from annalist.schemas import CLAIM_SCHEMA
 from annalist.sources import readers, sinks
 from annalist.streaming.claims import stream_claims, write_claims_stream
@@ -191,3 +193,32 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text('{"id":"Q1","claims":{"P31":[{"mainsnak":{"snaktype":"value","datavalue":{"value":{"entity-type":"item","numeric-id":5}}}}]}}\n[\n')
     write_claims_stream(stream_claims(spark, str(tmp_path / "in"), 2020), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_queries_process_every_anchor(spark, tmp_path):
+    day = lambda m: [f"+2022-{m}-15T00:00:00Z"]
+    claims = [(2022, s, p, v, "normal", day(a), day(b)) for s, p, v, a, b in (("Q1", "P131", "Q2", "03", "05"), ("Q2", "P131", "Q3", "03", "05"), ("Q3", "P17", "Q4", "03", "05"), ("Q1", "P39", "Q5", "09", "11"))]
+    claims += [(2022, "Q1", p, f"Q{6 + i}", "normal", None, None) for i, p in enumerate(("P39", "P54", "P102"))]
+    text = spark.createDataFrame(claims, "snapshot_year int, subject_qid string, pid string, value_qid string, rank string, q_start_time array<string>, q_end_time array<string>")
+    absent = [f.name for f in CLAIM_SCHEMA if f.name.startswith("q_") and f.name not in text.columns]
+    text.select("*", *(F.lit(None).cast("array<string>").alias(c) for c in absent)).write.parquet(str(tmp_path / "claims.parquet"))
+    names = [(f"Q{i}", n, "en", None) for i, n in enumerate(("Ashford", "Barrow", "Corby", "Derby", "Mayor", "Exeter", "Forest", "Gambia"), 1)]
+    spark.createDataFrame(names, "id string, label string, lang string, description string").write.parquet(str(tmp_path / "labels.parquet"))
+    at = lambda q: {str(r.anchor_date)[5:] for r in catalog.QUERIES[q](spark, str(tmp_path)).select("anchor_date").collect()}
+    assert at("truth_temporal_best") == at("truth_temporal_all") == {"04-01", "10-01"}
+    assert at("truth_timeless_best") == at("truth_timeless_all") == {"01-01", "04-01", "07-01", "10-01"}
+    assert at("two_hop_first") == at("three_hop_first") == at("multihop_questions") == {"04-01"}
+    assert at("multi_turn_chains") == {"01-01", "04-01", "07-01", "10-01"}
+
+
+@pytest.mark.parametrize("name", ["truth_temporal_best", "truth_temporal_all", "truth_timeless_best", "truth_timeless_all", "two_hop_first", "three_hop_first"])
+def test_anchors_of_the_sql_are_as_in_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("claims", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(catalog.SQL[name]).df()
+    days = ("-01-01",) if "hop" in name else ("-01-01", "-07-01")
+    got = catalog.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+    plain = lambda df: sorted((tuple(None if v is None or v != v else str(v) for v in r) for r in df.itertuples(index=False, name=None)), key=str)
+    assert plain(got[got.anchor_date.str.endswith(days)]) == plain(want)
+    assert set(got.anchor_date.str[4:]) == {"-01-01", "-04-01", "-07-01", "-10-01"}
