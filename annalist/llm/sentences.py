@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts, by document-centred disambiguation.
 
 What a full stop, a line break or (in Thai) a space means is settled from unambiguous occurrences: first those elsewhere in
-the same document (words that also occur in lower case, line breaks in the middle of a phrase, marks of lists and speakers),
+the same document (what follows a word's full stop there, words that also occur in lower case, capitalised words in
+mid-sentence, line breaks in the middle of a phrase, marks of lists and speakers),
 then, for what the document leaves open, those of the whole corpus. The corpus stage counts for each word before a full stop
 what follows it: a small letter, a digit, a comma, a capital, or the end of a paragraph. A word that stands at the end of a paragraph far
 more seldom than words before a capital do in this corpus cannot end a sentence (titles), nor one after which sentences mostly go on ("cf."); one followed mostly by digits announces a number ("vol."). For Thai segments it
@@ -32,6 +33,8 @@ PRIOR_BEFORE_NUMBER = "no nr vol p pp bd s ca art pág núm éd ed fig jan feb m
 #: word that is an abbreviation by these; least number of paragraph ends to be expected of a word that has almost none; least share of
 #: digits after a word before numbers; least share of line starts of a Thai segment that begins sentences.
 LEAST, FINAL_SHARE, GOES_ON, EXPECTED, NUMBER_SHARE, START_SHARE = 30, 0.004, 0.3, 7, 0.5, 0.03
+#: Least number of unambiguous occurrences in a document that settle a word there.
+SEVERAL = 2
 #: An opening mark still open so many levels further in is no quotation.
 DEPTH = 64
 #: German words before an ordinal number.
@@ -188,6 +191,8 @@ class _Document:
         self.breaks = len(regex.findall(r"[^\s.!?…:;,。！？][^\S\n]*\n[^\S\n]*\S", text)) if "\n" in text else 0
         self.lists = bool(regex.search(r"(?m)^[ \t]*(?:[-*•‣◦▪]|\d{1,3}[.)])[ \t]+\S", text))
         self._small: set[str] | None = None
+        self._names: set[str] | None = None
+        self._own: dict[str, list[int]] | None = None
 
     def span_at(self, i: int) -> tuple[int, int, bool] | None:
         j = bisect_right(self.opens, i) - 1
@@ -202,6 +207,17 @@ class _Document:
         kind = word_type(word)
         return self.flags.get(kind, prior(kind))
 
+    def own_flag(self, word: str, flags: int) -> int:
+        """Flags of a word by its unambiguous occurrences in the document, 0 if they don't settle it; digits alone make no abbreviation of a word that can end a sentence."""
+        if self._own is None:
+            self._own = evidence(self.text)
+        final, other, small, digit, comma = self._own.get(word_type(word), (0, 0, 0, 0, 0))
+        if final:
+            return CAN_END if final >= SEVERAL and not small + digit + comma else 0
+        number = BEFORE_NUMBER if digit >= SEVERAL and digit > other else 0
+        goes_on = small + digit + comma >= SEVERAL and (small + comma or not flags & CAN_END)
+        return number | (NEVER_FINAL if goes_on else 0)
+
     def mark_end(self, start: int) -> int:
         """Where the content of a sentence begins after a bullet, number or speaker's mark."""
         m = _MARK.match(self.text, start)
@@ -279,11 +295,13 @@ class _Document:
         if _UNCASED_STOP.match(word[-1]):
             return False
         flags = self.flag(word)
+        initial = len(word) == 1 and word.isupper() or bool(regex.fullmatch(r"\p{Lu}(?:\.?-\p{Lu})+", word))
+        own = 0 if initial else self.own_flag(word, flags)
         if nxt.isdigit():
-            return not flags & BEFORE_NUMBER and not (flags & NEVER_FINAL)
-        if len(word) == 1 and word.isupper() or regex.fullmatch(r"\p{Lu}(?:\.?-\p{Lu})+", word):
-            return self.initial_ends(k)
-        return not flags & NEVER_FINAL
+            return bool(own & CAN_END) if own and not flags & CAN_END else not flags & BEFORE_NUMBER and not (flags & NEVER_FINAL)
+        if initial or own & NEVER_FINAL:
+            return self.initial_ends(k) or not initial and bool(flags & CAN_END) and not self.name_at(k)
+        return bool(own & CAN_END) or not flags & NEVER_FINAL
 
     def small_words(self) -> set[str]:
         """Words that the document has in small letters."""
@@ -291,10 +309,21 @@ class _Document:
             self._small = set(regex.findall(r"(?<![\w'’])\p{Ll}+(?!\w)", self.text))
         return self._small
 
+    def names(self) -> set[str]:
+        """Words that the document has with a capital in mid-sentence."""
+        if self._names is None:
+            self._names = set(regex.findall(r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+(?!\w)", self.text))
+        return self._names
+
+    def name_at(self, k: int) -> bool:
+        """Whether the word at k has a capital in mid-sentence elsewhere in the document."""
+        word = regex.compile(r"\p{Lu}\p{Ll}+").match(self.text, k)
+        return bool(word) and word.group() in self.names()
+
     def initial_ends(self, k: int) -> bool:
-        """Whether a sentence ends after a single capital: the next word occurs in small letters elsewhere in the document, so it is no name."""
+        """Whether a sentence ends after a single capital or an abbreviation: the next word occurs in small letters elsewhere in the document and not with a capital in mid-sentence, so it is no name."""
         word = regex.compile(r"\p{Lu}\p{Ll}+").match(self.text, k)
-        return bool(word) and word.group().lower() in self.small_words()
+        return bool(word) and word.group().lower() in self.small_words() and word.group() not in self.names()
 
     def glued(self, start: int, a: int, got: str, k: int) -> bool:
         """Whether a mark without a blank after it may end a sentence: the next one begins plainly and no address or number goes on."""

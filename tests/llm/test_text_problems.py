@@ -167,6 +167,27 @@ def test_boundaries(parts, between):
     assert [text[s:e] for s, e in sentences.split_text(text)] == parts
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["The abtlg. was small.", "An abtlg. of ten, an abtlg. for twenty.", "Ann led Abtlg. Stone."],
+        ["See Kpt. 3 and Kpt. 4.", "Then Kpt. Stone follows."],
+        ["He came at 9 uhr. or so, at 10 uhr. at most.", "It was 11 uhr.", "He left at once, and he stayed away."],
+        ["Rose and will rose met J. Rose.", "Later Ann saw Rose."],
+    ],
+    ids=str,
+)
+def test_the_document_settles_its_own_words(parts):
+    text = " ".join(parts)
+    assert [text[s:e] for s, e in sentences.split_text(text)] == parts
+
+
+def test_the_document_comes_before_the_corpus():
+    text = "An abtlg. of ten, an abtlg. for twenty. Ann led Abtlg. Stone.\n\nHe met Stone.\n\nHe is a prof.\n\nShe is a prof.\n\nHe met a prof. They left."
+    flags = {"abtlg": sentences.CAN_END, "prof": sentences.NEVER_FINAL}
+    assert [text[s:e] for s, e in sentences.split_text(text, flags)] == ["An abtlg. of ten, an abtlg. for twenty.", "Ann led Abtlg. Stone.", "He met Stone.", "He is a prof.", "She is a prof.", "He met a prof.", "They left."]
+
+
 def test_lines():
     split = lambda t: [t[s:e] for s, e in sentences.split_text(t)]
     assert split("Terms of office\n\nIt did not last. It was\nthen run by Ann.") == ["Terms of office", "It did not last.", "It was\nthen run by Ann."]
