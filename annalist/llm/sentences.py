@@ -29,7 +29,7 @@ NEVER_FINAL, BEFORE_NUMBER, STARTS, CAN_END = 1, 2, 4, 8
 #: Fixed prior, for corpora too small to tell: words never last in a sentence, and words that announce a number.
 PRIOR_NEVER_FINAL = "dr mr mrs ms prof st sr sra dra mme vgl cf vs им ул см д डॉ ee".split()
 PRIOR_BEFORE_NUMBER = "no nr vol p pp bd s ca art pág núm éd ed fig jan feb mar apr jun jul aug sep sept oct nov dec т с стр ص पृ".split()
-#: Least number of occurrences for a verdict; greatest share of paragraph ends and least share of small letters, digits and commas after a
+#: Least number of occurrences for a verdict (the prior stays where that many cannot tell: fewer paragraph ends than expected, and too few expected); greatest share of paragraph ends and least share of small letters, digits and commas after a
 #: word that is an abbreviation by these; least number of paragraph ends to be expected of a word that has almost none; least share of
 #: digits after a word before numbers; least share of line starts of a Thai segment that begins sentences.
 LEAST, FINAL_SHARE, GOES_ON, EXPECTED, NUMBER_SHARE, START_SHARE = 30, 0.004, 0.3, 7, 0.5, 0.03
@@ -93,8 +93,9 @@ def verdict(kind: str, final: int, other: int, small: int, digit: int, comma: in
     total, flags = final + other + small + digit + comma, 0
     goes_on = small + digit + comma >= GOES_ON * total and final <= FINAL_SHARE * total
     expected = base * (final + other)
-    if total >= LEAST:
-        flags |= NEVER_FINAL if goes_on or expected >= EXPECTED and final <= 0.1 * expected else CAN_END
+    never = goes_on or expected >= EXPECTED and final <= 0.1 * expected
+    if total >= LEAST and (never or expected >= EXPECTED or final and final >= expected):
+        flags |= NEVER_FINAL if never else CAN_END
     elif kind in PRIOR_NEVER_FINAL:
         flags |= NEVER_FINAL
     open_ = final + other + digit
@@ -482,7 +483,7 @@ def corpus_verdicts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
     expected = F.lit((ends["f"] or 0) / max(1, (ends["f"] or 0) + (ends["o"] or 0))) * (f + o)
     never = ((s + d + c >= GOES_ON * total) & (f <= FINAL_SHARE * total)) | ((expected >= EXPECTED) & (f <= 0.1 * expected))
     word = (
-        F.when(known & never, NEVER_FINAL).when(known, CAN_END).when(F.col("kind").isin(PRIOR_NEVER_FINAL), NEVER_FINAL).otherwise(0)
+        F.when(known & never, NEVER_FINAL).when(known & ((expected >= EXPECTED) | ((f > 0) & (f >= expected))), CAN_END).when(F.col("kind").isin(PRIOR_NEVER_FINAL), NEVER_FINAL).otherwise(0)
         + F.when(((d >= 3) & (d >= NUMBER_SHARE * (f + o + d))) | (early & F.col("kind").isin(PRIOR_BEFORE_NUMBER)), BEFORE_NUMBER).otherwise(0)
     )
     starts = F.when(f >= F.greatest(F.lit(2), START_SHARE * (f + o)), STARTS).otherwise(0)

@@ -226,6 +226,21 @@ def test_corpus_settles_what_the_document_leaves_open(spark):
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("n", [20, 29, 30, 53, 69, 70, 90])
+def test_a_title_is_never_final_at_any_count(n):
+    assert sentences.verdict("st", 0, n, 0, 0, 0, 0.1) == sentences.NEVER_FINAL
+    assert sentences.verdict("mill", n // 10 + 1, n, 0, 0, 0, 0.1) == (sentences.CAN_END if n >= sentences.LEAST else 0)
+    assert sentences.verdict("quux", 0, n, 0, 0, 0, 0.1) == (0 if n < 70 else sentences.NEVER_FINAL)
+
+
+def test_titles_of_a_middling_corpus(spark):
+    docs = [(i, f"We met St. Stone{i}.") for i in range(50)] + [(100 + i, f"Ann{i} came. Bob{i} left. Cole{i} stayed on. Dora{i} rested") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    verdicts = {r.kind: r.flags for r in sentences.corpus_verdicts(df, "doc_id", "text")[1].collect()}
+    assert verdicts["st"] == sentences.NEVER_FINAL
+    assert sentences.split_sentences(df.filter("doc_id < 100"), "doc_id", "text").count() == 50
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p6_labels", "p8_ids", "p9_mix", "p9_shares", "p10_found"])
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).filter(F.lit(True)).count() > 0
