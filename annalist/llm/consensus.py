@@ -134,14 +134,15 @@ def consensus(df: DataFrame, group: Sequence[str], value: str, weight: str | Col
     kept = chosen.filter((F.col("_s") == 0) if dominant else (F.col("_s") == 0) | (F.col("_top.w") * -2 > F.col("_all")))
     line = kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_c", "_s", F.col("_top.t").alias("_t")))).alias("_line"))
     agreed = line.select(*group, F.filter(F.transform("_line", lambda x: x["_t"]), lambda t: t != "").alias("_consensus"))
-    near = _beside(met, agreed, group).select(*group, "_value", "_w", "n_rows", "n_values", _distance("_consensus", "_value").alias("_d"))
+    # A group whose columns are all voted away has no row in ``agreed``: its consensus is empty.
+    near = _beside(met, agreed, group, "left").select(*group, "_value", "_w", "n_rows", "n_values", _distance(F.coalesce("_consensus", F.array().cast("array<string>")), "_value").alias("_d"))
     first = near.groupBy(*group).agg(F.min(F.struct("_d", (-F.col("_w")).alias("w"), "_value")).alias("_f"), F.max("n_rows").alias("n_rows"), F.max("n_values").alias("n_values"))
     found = first.select(*group, F.col("_f._value").alias("value"), "n_rows", "n_values", F.col("_f._d").alias("distance"))
     single = best.filter(F.col("n_values") == 1).select(*group, F.col("_guide").alias("value"), "n_rows", "n_values", F.lit(0).alias("distance"))
     return single.unionByName(found)
 
 
-def _beside(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``left`` with the columns of the one row of ``right`` for its group; nulls in the group meet nulls."""
+def _beside(left: DataFrame, right: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of the one row of ``right`` for its group; nulls in the group meet nulls. ``how`` "left" keeps groups without one."""
     other = right.select(*(F.col(g).alias(f"_g_{g}") for g in group), *(c for c in right.columns if c not in group))
-    return left.join(other, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]).drop(*(f"_g_{g}" for g in group))
+    return left.join(other, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], how).drop(*(f"_g_{g}" for g in group))

@@ -130,6 +130,25 @@ def test_consensus(spark):
     assert consensus.consensus(df.limit(0), ["g"], "v", "w").count() == 0
 
 
+def test_a_guide_without_tokens_keeps_its_group(spark):
+    data = [(1, "", 3), (1, "z", 1), (2, "", 3), (2, "y", 1), (2, "z", 1), (3, "\u00a0", 4), (3, "", 1), (4, "", 3), (4, "z", 2), (4, "z y", 2), (None, "", 2), (None, "x", 1)]
+    df = spark.createDataFrame(data, "g int, v string, w int")
+    got = {r.g: (r.value, r.n_rows, r.n_values, r.distance) for r in consensus.consensus(df, ["g"], "v", "w").collect()}
+    assert got == {1: ("", 2, 2, 0), 2: ("", 3, 3, 0), 3: ("\u00a0", 2, 2, 0), 4: ("z", 3, 3, 0), None: ("", 2, 2, 0)}
+    got = {r.g: (r.value, r.distance) for r in consensus.consensus(df, ["g"], "v", "w", dominant=True).collect()}
+    assert got == {1: ("", 0), 2: ("", 0), 3: ("\u00a0", 0), 4: ("", 0), None: ("", 0)}
+
+
+def test_a_best_row_without_value_survives(spark, tmp_path):
+    at, built = dt.date(2020, 1, 1), dt.datetime(2020, 1, 2)
+    data = [(at, "Q1", "P39", v, rank, None, dt.date(2010, 1, 1), None, None, built) for v, rank in ((None, "preferred"), ("Q5", "normal"))]
+    data += [(at, "Q2", "P39", v, rank, None, None, None, None, built) for v, rank in (("bad", "preferred"), ("Q5", "normal"), ("Q6", "normal"))]
+    schema = "anchor_date date, subject_qid string, pid string, value_qid string, rank string, rank_score int, start_date date, end_date date, pit_date date, built_at timestamp_ntz"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "temporal_facts.parquet"))
+    got = queries.p6_found(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("2020-01-01", "Q1", "P39", "", "preferred", "2010-01-01", ""), ("2020-01-01", "Q2", "P39", "", "preferred", "", "")]
+
+
 def test_survivors_follow_the_order(spark, tmp_path):
     rnd = random.Random(7)
     day = lambda: None if rnd.random() < 0.4 else dt.date(2010 + rnd.randrange(10), rnd.randrange(1, 13), rnd.randrange(1, 29))
