@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def snapshot_changes(df: DataFrame, key: Sequence[str], snapshot: str, content: Sequence[Column], first: int | None = None, step: int = 1) -> DataFrame:
     """Key, snapshot (the later of two) and ``change``: ``added``, ``removed`` or ``changed``.
 
     ``content`` are the columns whose distinct combinations make a record's state; a key may have several rows in a
-    snapshot, their order and repetition mean nothing. The state's canonical hash is that of the sorted set of row hashes.
+    snapshot, their order and repetition mean nothing. The state's canonical hash is that of the sorted set of row hashes; a row's
+    hash takes each column with its null flag and, of a list, its size, so that nothing slides from one column into the next.
     Both sides of a full outer join on (key, snapshot) are these hashes, one of them moved on by ``step``: a missing side is
     an addition or a removal, unequal hashes are a change. The first snapshot has no rows (there is none before it), nor has
     anything after the last one; ``first`` may name it, else it is looked up together with the last. Rows with a null in key
@@ -26,7 +28,9 @@ def snapshot_changes(df: DataFrame, key: Sequence[str], snapshot: str, content:
     edge = df.agg(F.min(snapshot).alias("lo"), F.max(snapshot).alias("hi")).first()
     lo, hi = (edge["lo"] if first is None else first), edge["hi"]
     lo, hi = (lo, hi) if lo is not None and hi is not None else (0, -1)
-    states = source.groupBy(*key, F.col(snapshot).alias("_at")).agg(F.collect_set(F.xxhash64(*content)).alias("_set")).select(*key, "_at", F.xxhash64(F.array_sort("_set")).alias("_hash"))
+    types = df.select(*content).schema.fields
+    framed = [x for c, f in zip(content, types, strict=True) for x in (c.isNull(), *([F.size(c)] if isinstance(f.dataType, T.ArrayType) else []), c)]
+    states = source.groupBy(*key, F.col(snapshot).alias("_at")).agg(F.collect_set(F.xxhash64(*framed)).alias("_set")).select(*key, "_at", F.xxhash64(F.array_sort("_set")).alias("_hash"))
     before = states.select(*(F.col(k).alias(f"_b_{k}") for k in key), (F.col("_at") + step).alias("_b_at"), F.col("_hash").alias("_b_hash"))
     met = states.join(before, [F.col("_at") == F.col("_b_at"), *(F.col(k) == F.col(f"_b_{k}") for k in key)], "full_outer")
     change = F.when(F.col("_b_hash").isNull(), "added").when(F.col("_hash").isNull(), "removed").when(F.col("_hash") != F.col("_b_hash"), "changed")

@@ -199,3 +199,11 @@ def test_sql(spark, sf, name):
 def test_found_rows(spark, sf):
     found = problems.p4_found(spark, sf)
     assert found.columns == ["row_no", "pid", "claim_no", "qual_pid", "qual_no", "snak_value"] and found.count() > 100
+
+
+def test_a_day_that_moves_between_lists_is_a_change(spark, rows):
+    day, other = dt.date(2010, 1, 1), dt.date(2011, 1, 1)
+    states = {1: ([day], []), 2: ([day, other], []), 3: (None, [day]), 4: ([day], [other])}, {1: ([], [day]), 2: ([day], [other]), 3: ([], [day]), 4: ([day], [other])}
+    df = spark.createDataFrame([(s, 2020 + i, *ab) for i, by in enumerate(states) for s, ab in by.items()], "s int, y int, a array<date>, b array<date>")
+    got = snapshots.snapshot_changes(df, ["s"], "y", [F.col("a"), F.col("b")])
+    assert rows(got) == [(2021, 1, "changed"), (2021, 2, "changed"), (2021, 3, "changed")]
