@@ -44,6 +44,7 @@ class Caps:
     complex: int | None = 100_000
     cross_anchor: int | None = 20_000
     pairs: int | None = 2000
+    entity_pairs: int | None = 20_000
 
 
 def _map(position: int) -> Column:
@@ -144,7 +145,7 @@ def count_distinct(rich: DataFrame) -> DataFrame:
     return flat(counts.withColumns({"question": asked, "answer": F.col("n_values").cast("string"), "year": F.col("snapshot_year")}), "complex_count_distinct")
 
 
-def two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 2000) -> DataFrame:
+def two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 20_000) -> DataFrame:
     """Pairs of subjects of a property in one qualifier year with both counts: n_a, n_b."""
     keys = [*SCOPE, "pid", "year"]
     counts = value_counts(rich.filter((F.col("truth_type") != "timeless") & F.col("year").isNotNull()), [*keys, "subject_label"])
@@ -158,11 +159,11 @@ def _arithmetic(pairs: DataFrame, family: str, word: str, answer: Column) -> Dat
     return flat(pairs.select(*SCOPE, "pid", "year", F.concat_ws(" & ", "a", "b").alias("subject_label"), F.lit(None).cast("string").alias("subject_qid"), asked.alias("question"), answer.cast("string").alias("answer")), family)
 
 
-def sum_two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 2000) -> DataFrame:
+def sum_two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 20_000) -> DataFrame:
     return _arithmetic(two_entities(rich, seed, cap), "complex_sum_two_entities", "together the", F.col("n_a") + F.col("n_b"))
 
 
-def diff_two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 2000) -> DataFrame:
+def diff_two_entities(rich: DataFrame, seed: str | int = 42, cap: int | None = 20_000) -> DataFrame:
     return _arithmetic(two_entities(rich, seed, cap).filter(F.col("n_a") != F.col("n_b")), "complex_diff_two_entities", "the difference in", F.col("n_a") - F.col("n_b"))
 
 
@@ -319,7 +320,7 @@ def cross_anchor_switch(best: DataFrame, seed: str | int = 42) -> DataFrame:
 def all_flat(best: DataFrame, rich: DataFrame, seed: str | int = 42, caps: Caps = Caps()) -> DataFrame:
     """All flat families within their caps, unique by wording."""
     capped = lambda d, n: cap_groups(d, ["anchor_date", "truth_type"], n, seed, ["question", "answer"])
-    arithmetic = count_distinct(rich).unionByName(sum_two_entities(rich, seed, caps.pairs)).unionByName(diff_two_entities(rich, seed, caps.pairs))
+    arithmetic = count_distinct(rich).unionByName(sum_two_entities(rich, seed, caps.entity_pairs)).unionByName(diff_two_entities(rich, seed, caps.entity_pairs))
     parts = [direct(best), capped(multihop_2(best), caps.two_hop), capped(multihop_3(best), caps.three_hop), capped(arithmetic, caps.complex)]
     out = parts[0]
     for p in parts[1:]:

@@ -195,6 +195,13 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_entity_pairs_have_their_own_cap(spark):
+    rows = spark.range(2400 * 5).select(F.lit(2022).alias("snapshot_year"), F.lit(D(2022, 1, 1)).alias("anchor_date"), F.lit("temporal").alias("truth_type"), F.format_string("Subject %d", F.floor(F.col("id") / 5).cast("bigint")).alias("subject_label"), F.lit("Q1").alias("subject_qid"), F.lit("P108").alias("pid"), F.format_string("Firm %d", F.col("id")).alias("value_label"), F.lit("Q2").alias("value_qid"), F.lit(2015).alias("year"))
+    flat = G.all_flat(rows.filter("false"), rows)
+    assert flat.filter("family = 'complex_sum_two_entities'").count() == 1200
+    assert G.Caps().entity_pairs == 20_000 and G.Caps().pairs == 2000
+
+
 def test_queries_process_every_anchor(spark, tmp_path):
     day = lambda m: [f"+2022-{m}-15T00:00:00Z"]
     claims = [(2022, s, p, v, "normal", day(a), day(b)) for s, p, v, a, b in (("Q1", "P131", "Q2", "03", "05"), ("Q2", "P131", "Q3", "03", "05"), ("Q3", "P17", "Q4", "03", "05"), ("Q1", "P39", "Q5", "09", "11"))]
