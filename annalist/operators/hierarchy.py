@@ -59,10 +59,10 @@ def hierarchy(links: DataFrame, tree: str, node: str, parent: str, max_rounds: i
 
     ``node`` and ``parent`` are BIGINT codes. A root has depth 0 and the path of itself. A node on a loop, itself above itself
     included, or below one has a null root, a null path and depth -1. Repeated links count once; of several parents of a node
-    the smallest counts. Links with a null in tree, node or parent take no part. An empty table gives no rows.
+    the smallest counts; one that is in no other link is a root of its own. Links with a null in tree, node or parent take no part. An empty table gives no rows.
     """
-    edges = links.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent")).dropna()
-    edges = edges.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    given = links.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent")).dropna()
+    edges = given.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
     state = checkpoint(edges.mapInPandas(_local, _SCHEMA).withColumn("done", F.col("loop")))
     for _ in range(max_rounds):
         b = state.select(F.col("tree").alias("b_tree"), F.col("node").alias("b_node"), F.col("top").alias("b_top"), F.col("dist").alias("b_dist"), F.col("path").alias("b_path"), F.col("loop").alias("b_loop"))
@@ -85,7 +85,8 @@ def hierarchy(links: DataFrame, tree: str, node: str, parent: str, max_rounds: i
         raise RuntimeError(f"links are not resolved after {max_rounds} rounds")
     ended = state.filter(~F.col("loop")).select("tree", "node", F.col("top").alias("root"), F.col("dist").alias("depth"), F.concat(F.reverse("path"), F.array("node")).alias("path"))
     loops = state.filter(F.col("loop")).select("tree", "node", F.lit(None).cast("bigint").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<bigint>").alias("path"))
-    roots = state.filter(~F.col("loop")).groupBy("tree", F.col("top").alias("node")).agg(F.lit(0).alias("depth")).select("tree", "node", F.col("node").alias("root"), "depth", F.array("node").alias("path"))
+    above = given.select("tree", F.col("parent").alias("node")).distinct().join(state, ["tree", "node"], "left_anti")
+    roots = above.select("tree", "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
     return ended.unionByName(loops).unionByName(roots)
 
 

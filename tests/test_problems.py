@@ -207,3 +207,8 @@ def test_a_day_that_moves_between_lists_is_a_change(spark, rows):
     df = spark.createDataFrame([(s, 2020 + i, *ab) for i, by in enumerate(states) for s, ab in by.items()], "s int, y int, a array<date>, b array<date>")
     got = snapshots.snapshot_changes(df, ["s"], "y", [F.col("a"), F.col("b")])
     assert rows(got) == [(2021, 1, "changed"), (2021, 2, "changed"), (2021, 3, "changed")]
+
+
+def test_a_parent_that_is_not_chosen_is_a_root(spark, rows):
+    df = spark.createDataFrame([(1, 5, 2), (1, 5, 9), (1, 2, 1), (2, 3, 3), (2, 3, 7)], "t int, n bigint, up bigint")
+    assert rows(hierarchy.hierarchy(df, "t", "n", "up")) == [(1, 1, 1, 0, (1,)), (1, 2, 1, 1, (1, 2)), (1, 5, 1, 2, (1, 2, 5)), (1, 9, 9, 0, (9,)), (2, 3, None, -1, None), (2, 7, 7, 0, (7,))]
