@@ -9,36 +9,128 @@ table), and no shuffle is needed at any scale. ``adjacency`` gives the node tabl
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Steps of a path that stand for any label of an object and any element of an array.
 ANY, EACH = "*", "[]"
-_KINDS = {dict: "object", list: "array", str: "string", bool: "bool", type(None): "null", int: "number", float: "number"}
+
+
+class Number(str):
+    """A number as it is written, so that none is too long or loses digits."""
+
+
+_KINDS = {dict: "object", list: "array", str: "string", bool: "bool", type(None): "null", Number: "number"}
+_JSON = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=Number)
+_BLANK, _SCALAR = re.compile(r"[ \t\n\r]*"), re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+_WORDS = {"true": True, "false": False, "null": None}
 #: Lines handled at a time; bounds a worker's memory whatever the size of an Arrow batch.
 CHUNK = 1000
 
 
-def parse_line(line: str | None):
-    """The JSON value of a line of a shard or of a raw dump (one trailing comma, blanks and a byte order mark do not count).
+def parse_nested(text: str):
+    """The JSON value of a text nested to any depth, by a stack of open objects and arrays; ValueError where it is none."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    done: list = []  # the whole value once it is there
+    open_: list[tuple] = []  # (container, its current key)
 
-    None for null, blank and unparsable lines, the brackets of a dump among them.
-    """
+    def put(x) -> None:
+        if not open_:
+            done.append(x)
+        elif isinstance(open_[-1][0], dict):
+            open_[-1][0][open_[-1][1]] = x
+        else:
+            open_[-1][0].append(x)
+
+    def key(i: int) -> int:
+        if text[i : i + 1] != '"':
+            raise ValueError("a key must be a string")
+        name, i = json.decoder.scanstring(text, i + 1)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon after a key")
+        open_[-1] = (open_[-1][0], name)
+        return skip(i + 1)
+
+    i, n = skip(0), len(text)
+    while not done or open_:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            box: dict | list = {} if c == "{" else []
+            put(box)
+            open_.append((box, None))
+            i = skip(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                i = key(i) if c == "{" else i
+                continue
+        elif c == '"':
+            x, i = json.decoder.scanstring(text, i + 1)
+            put(x)
+            i = skip(i)
+        else:
+            m = _SCALAR.match(text, i)
+            if not m:
+                raise ValueError("no value")
+            put(_WORDS[m.group()] if m.group() in _WORDS else Number(m.group()))
+            i = skip(m.end())
+        while open_:  # what comes after a value: the end of its container, or a comma and the next one
+            box, end = open_[-1][0], text[i : i + 1]
+            if end == ("}" if isinstance(box, dict) else "]"):
+                open_.pop()
+                i = skip(i + 1)
+            elif end == ",":
+                i = skip(i + 1)
+                i = key(i) if isinstance(box, dict) else i
+                break
+            else:
+                raise ValueError("no comma or end")
+    if i != n:
+        raise ValueError("text after the value")
+    return done[0]
+
+
+def read_line(line: str | None) -> tuple[object, str | None]:
+    """The JSON value of a line of a shard or of a raw dump (one trailing comma, blanks and a byte order mark do not count), or the reason why there is none."""
     if line is None:
-        return None
+        return None, "null line"
     text = line.strip(" \t\r\n﻿\x00")
     if text.endswith(","):
         text = text[:-1].rstrip()
-    if len(text) < 2:
-        return None
+    if not text:
+        return None, "blank"
+    if text in "[]":
+        return None, "bracket of a dump"
+    try:
+        return _JSON.decode(text), None
+    except RecursionError:
+        pass
+    except ValueError:
+        return None, "no JSON"
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
+        return parse_nested(text), None
+    except ValueError:
+        return None, "no JSON"
+
+
+def parse_line(line: str | None):
+    """The JSON value of a line, None where there is none (or it is a JSON null)."""
+    return read_line(line)[0]
+
+
+def _array(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """An Arrow array; half a surrogate pair, which no text can hold, becomes the replacement character."""
+    try:
+        return pa.array(values, kind, from_pandas=True)
+    except UnicodeEncodeError:
+        whole = lambda x: x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(x, str) else x
+        return pa.array([whole(x) for x in values], kind, from_pandas=True)
 
 
 class Nodes:
@@ -68,7 +160,7 @@ class Nodes:
                 sca.append(None)
                 stack.extend([(x, n, None, i) for i, x in enumerate(v)][::-1])
             else:
-                sca.append(v if t == "string" else None if v is None else json.dumps(v))
+                sca.append(v if t == "string" else None if v is None else str(v) if t == "number" else json.dumps(v))
 
     def freeze(self) -> Nodes:
         codes: dict = {}
@@ -139,7 +231,7 @@ def adjacency(df: DataFrame, key: str, text: str, skip: Sequence[str] = ()) -> D
                     for c, x in zip(cols, ([k] * len(n.parent), range(len(n.parent)), n.parent, n.label, n.ordinal, n.kind, n.scalar), strict=True):
                         c.extend(x)
                 types = (kind, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.name for f in schema.fields])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -168,7 +260,7 @@ def entities(df: DataFrame, key: str, text: str, schema: T.StructType, build: Ca
                 if not used:
                     continue
                 for records, columns in build(nodes.freeze()):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(([used[r] for r in records], *columns), types, strict=True)], names=full.names)
+                    yield pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(([used[r] for r in records], *columns), types, strict=True)], names=full.names)
 
     return df.select(key, text).mapInArrow(run, full)
 
@@ -182,7 +274,7 @@ SNAK_SCHEMA = T.StructType(
 
 def is_item_document(value) -> bool:
     """A JSON object whose id begins with Q."""
-    return isinstance(value, dict) and isinstance(value.get("id"), str) and value["id"].startswith("Q")
+    return isinstance(value, dict) and type(value.get("id")) is str and value["id"].startswith("Q")
 
 
 def _number_of(text: str | None, letter: str) -> str | None:
@@ -239,3 +331,19 @@ def claim_snaks(df: DataFrame, key: str, text: str) -> DataFrame:
     missing, null or an empty list give no rows. Repeated lines give their rows each under its own key.
     """
     return entities(df, key, text, SNAK_SCHEMA, _snak_rows, is_item_document, skip=("references", "labels", "descriptions", "aliases", "sitelinks", "qualifiers-order"))
+
+
+def rejected_lines(df: DataFrame, text: str, keep: Callable[[object], bool] = is_item_document) -> DataFrame:
+    """``reason`` and ``n_lines`` of the lines that are no record: null or blank, a bracket of a dump, no JSON, or not what ``keep`` takes."""
+    schema = T.StructType([T.StructField("reason", T.StringType()), T.StructField("n_lines", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                value, reason = read_line(line)
+                if reason or not keep(value):
+                    seen[reason or "no record"] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=schema.names)
+
+    return df.select(text).mapInArrow(run, schema).groupBy("reason").agg(F.sum("n_lines").alias("n_lines"))
