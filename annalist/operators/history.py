@@ -1,72 +1,69 @@
-"""Versions of entity attributes over time (type-two dimension), in one pass or snapshot by snapshot.
+"""Versions of entity attributes over time: a type-two dimension, merged from full snapshots.
 
-A version of a key is a longest run of consecutive snapshots in which the hash of its attributes stays the same.
-``build_history`` makes all versions from all snapshots at once: rows are pre-aggregated to one state per key and
-snapshot, then each state is compared, by its hash, with the version that is current just before it: an equal hash in
-the very next snapshot continues it, anything else closes it and opens another. ``merge_snapshot`` does the same for
-one further snapshot against the versions so far, with a full outer join on the key. Both give the same versions.
+The dimension holds, for each key, the versions of its attributes with the first and last snapshot of each. Merging a snapshot
+compares the hash of a key's attributes with that of the key's current version, the one still open at the snapshot before:
+an equal hash extends it, an unequal one closes it at the snapshot before and inserts a new open version, a key that the snapshot lacks
+has its version closed, a new key gets an open one. ``merge_snapshots`` does that for one snapshot or many, in their order,
+into a dimension or into none: versions and states of a key meet in one exchange and are merged there, key by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .snapshots import snapshot_list
+
 
 def attribute_hash(attributes: Sequence[str]) -> Column:
-    """64-bit hash of the attributes; null differs from every value. Without attributes only presence counts."""
-    parts = [x for a in attributes for x in (F.col(a).isNull(), F.col(a))]
-    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
+    """64-bit hash of the attributes, each with its null flag, so that null differs from every value. Without attributes presence alone counts."""
+    return F.xxhash64(F.lit(True), *(x for a in attributes for x in (F.col(a).isNull(), F.col(a))))
 
 
-def build_history(df: DataFrame, key: Sequence[str], snapshot: str, attributes: Sequence[str] = (), step: int = 1) -> DataFrame:
-    """All versions: key, attributes, ``valid_from``, ``valid_to`` (snapshots, both inclusive).
+def _place(at: Column, snapshots: Sequence[int]) -> Column:
+    """Place of a snapshot in the list of all snapshots, from 1."""
+    return F.array_position(F.lit(list(snapshots)).cast("array<bigint>"), at.cast("bigint"))
 
-    ``snapshot`` is an integer column, consecutive snapshots differ by ``step``. Several rows of a key in one snapshot
-    make one state; if their attributes differ, the greatest ``(hash, attributes)`` stands for it. Rows with a null in
-    the key or snapshot take no part. Other columns are ignored. An empty table gives no rows.
 
-    The pre-aggregation combines repeats before the shuffle, so that a key with very many equal rows costs one row a task;
-    the window then holds at most one row a snapshot for each key.
-    """
-    key = list(key)
-    source = df.filter(F.col(snapshot).isNotNull()).dropna(subset=key)
-    state = F.struct(attribute_hash(attributes).alias("_h"), *(F.col(a) for a in attributes))
-    states = source.groupBy(*key, F.col(snapshot).alias("_at")).agg(F.max(state).alias("_s"))
-    w = Window.partitionBy(*key).orderBy("_at")
-    seen = states.select(
-        *key,
-        "_at",
-        "_s",
-        F.lag("_at").over(w).alias("_before"),
-        F.lag("_s").over(w)["_h"].alias("_h_before"),
-        F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
-    )
-    continues = (F.col("_before") == F.col("_at") - F.lit(step)) & (F.col("_h_before") == F.col("_s._h"))
-    opened = seen.filter(~F.coalesce(continues, F.lit(False)))
-    closed = F.coalesce(F.lead("_before").over(w), F.col("_last"))
-    return opened.select(*key, *(F.col(f"_s.{a}").alias(a) for a in attributes), F.col("_at").alias("valid_from"), closed.alias("valid_to"))
-
-
-def merge_snapshot(versions: DataFrame | None, rows: DataFrame, key: Sequence[str], at: int, attributes: Sequence[str] = (), step: int = 1) -> DataFrame:
-    """Versions after the snapshot ``at``; ``versions`` are those before it (None: there are none yet).
-
-    An open version is one whose ``valid_to`` is the snapshot before. Keys whose hash is unchanged are extended; changed
-    or missing ones stay closed where they ended; new and changed keys get a new version that begins at ``at``.
+def merge_snapshots(rows: DataFrame, key: Sequence[str], snapshot: str, attributes: Sequence[str] | Mapping[str, Column], snapshots: Sequence[int], versions: DataFrame | None = None) -> DataFrame:
+    """The dimension after all snapshots in ``rows``: key, attributes, ``valid_from``, ``valid_to`` (snapshots, both inclusive).
+
+    ``versions`` is the dimension before them, in the same form (None: there is none). ``snapshots`` are all snapshots there
+    are, old and new, in order: a version whose ``valid_to`` is the last but one is still open for the last. Several rows of a key in
+    one snapshot make one state: ``attributes`` may give an aggregate for each name, else the greatest ``(hash, attributes)`` stands
+    for it. Rows with a null in key or snapshot take no part. Other columns are ignored. An empty table gives the dimension as it was.
+
+    Repeats combine to a state a key and snapshot before the first exchange, so a key with a third of all rows costs one row a
+    task and snapshot. What meets in one row is a key's states and versions, at most as many as there are snapshots.
     """
-    key = list(key)
-    state = F.struct(attribute_hash(attributes).alias("_h"), *(F.col(a) for a in attributes))
-    new = rows.dropna(subset=key).groupBy(*key).agg(F.max(state).alias("_s"))
-    begin = lambda d: d.select(*key, *(F.col(f"_s.{a}").alias(a) for a in attributes), F.lit(at).alias("valid_from"), F.lit(at).alias("valid_to"))
-    if versions is None:
-        return begin(new)
-    current = versions.filter(F.col("valid_to") == at - step).withColumn("_o", attribute_hash(attributes))
-    old = current.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.struct(*(F.col(a) for a in attributes), "_o", "valid_from", "valid_to").alias("_c"))
-    met = new.join(old, [F.col(k) == F.col(f"_k_{k}") for k in key], "full_outer")
-    same = F.coalesce(F.col("_s._h") == F.col("_c._o"), F.lit(False))
-    kept = met.filter(F.col("_c").isNotNull()).select(
-        *(F.col(f"_k_{k}").alias(k) for k in key), *(F.col(f"_c.{a}").alias(a) for a in attributes), F.col("_c.valid_from").alias("valid_from"), F.when(same, F.lit(at)).otherwise(F.col("_c.valid_to")).alias("valid_to")
-    )
-    return versions.filter(F.col("valid_to") < at - step).unionByName(kept).unionByName(begin(met.filter(F.col("_s").isNotNull() & ~same)))
+    key, made = list(key), attributes if isinstance(attributes, Mapping) else None
+    attributes = list(attributes)
+    state = F.struct(attribute_hash(attributes).alias("h"), *(F.col(a) for a in attributes))
+    given = rows.filter(F.col(snapshot).isNotNull()).dropna(subset=key).groupBy(*key, F.col(snapshot).cast("bigint").alias("_at"))
+    states = given.agg(*(c.alias(a) for a, c in made.items())).withColumn("_s", state) if made else given.agg(F.max(state).alias("_s"))
+    step = lambda first, last: F.struct(first.alias("first"), last.alias("last"), F.col("_s").alias("s"))
+    met = states.select(*key, step(F.col("_at"), F.col("_at")).alias("_v"))
+    if versions is not None:
+        old = versions.select(*key, F.col("valid_from").cast("bigint").alias("valid_from"), F.col("valid_to").cast("bigint").alias("valid_to"), state.alias("_s"))
+        met = met.unionByName(old.select(*key, step(F.col("valid_from"), F.col("valid_to")).alias("_v")))
+    inputs = met.groupBy(*key).agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+
+    def merge(done: Column, new: Column) -> Column:
+        """One state into the versions so far, the last of which is the current one: extend it, or leave it closed and open another."""
+        current = F.try_element_at(done, F.lit(-1))
+        follows = _place(new["first"], snapshots) == _place(current["last"], snapshots) + 1
+        same = F.coalesce(follows & (current["s"]["h"] == new["s"]["h"]), F.lit(False))
+        extended = F.struct(current["first"].alias("first"), new["last"].alias("last"), current["s"].alias("s"))
+        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(extended))).otherwise(F.concat(done, F.array(new)))
+
+    merged = inputs.select(*key, F.aggregate(F.slice("_v", 2, F.size("_v")), F.slice("_v", 1, 1), merge).alias("_v"))
+    out = merged.select(*key, F.explode("_v").alias("_v"))
+    kind = rows.schema[snapshot].dataType
+    return out.select(*key, *(F.col(f"_v.s.{a}").alias(a) for a in attributes), F.col("_v.first").cast(kind).alias("valid_from"), F.col("_v.last").cast(kind).alias("valid_to"))
+
+
+def build_history(rows: DataFrame, key: Sequence[str], snapshot: str, attributes: Sequence[str] | Mapping[str, Column] = ()) -> DataFrame:
+    """All versions from all snapshots of ``rows``, merged in order into an empty dimension (see ``merge_snapshots``)."""
+    return merge_snapshots(rows, key, snapshot, attributes, snapshot_list(rows, snapshot))

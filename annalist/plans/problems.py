@@ -10,9 +10,9 @@ from ..functions.ids import item_id, item_number, property_id, property_number,
 from ..operators.hierarchy import descendants, hierarchy
 from ..operators.history import build_history
 from ..operators.intervals import date_terms, periods_and_gaps
-from ..operators.references import orphan_references, parent_bitmaps, period_span, reference_bitmaps
-from ..operators.shredding import adjacency, claim_snaks
-from ..operators.snapshots import snapshot_changes
+from ..operators.references import orphan_references, parent_bitmaps
+from ..operators.shredding import adjacency, claim_snaks, rejected_lines
+from ..operators.snapshots import snapshot_changes, snapshot_list
 from ..session import table
 
 STATEMENT = ["s", "p", "v"]
@@ -33,16 +33,16 @@ def _named(df: DataFrame, *rest: str) -> list:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    held = statements(spark, folder, "rank").filter(rank_name("rank") != "deprecated")
-    versions = build_history(held, STATEMENT, "y")
+    """Versions of a statement by whether it is held (has a row that is not deprecated); those that are."""
+    held = F.max(rank_name("rank") != "deprecated")
+    versions = build_history(statements(spark, folder, "rank"), STATEMENT, "y", {"held": held}).filter("held")
     return versions.select(*_named(versions, "valid_from", "valid_to"))
 
 
 def p1_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of a statement by its trust: a change of the highest rank it has in a snapshot closes one and opens another."""
     trust = F.when(rank_name("rank") == "preferred", 2).when(rank_name("rank") == "deprecated", 0).otherwise(1)
-    rows = statements(spark, folder, "rank").groupBy("y", *STATEMENT).agg(F.max(trust).alias("trust"))
-    versions = build_history(rows, STATEMENT, "y", ["trust"])
+    versions = build_history(statements(spark, folder, "rank"), STATEMENT, "y", {"trust": F.max(trust)})
     return versions.select(*_named(versions, "trust", "valid_from", "valid_to"))
 
 
@@ -86,13 +86,12 @@ UNION ALL SELECT 'Q' || s, 'P' || p, 'gap', strftime(b + 1, '%Y-%m-%d'), strftim
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    sources = {n: table(spark, folder, n) for n in ("claims", "temporal_facts")}
-    span = period_span(*((d, "snapshot_year") for d in sources.values())) or (1, 1)
-    codes = [d.select(F.lit(n).alias("table_name"), "snapshot_year", item_number("value_qid").alias("code")) for n, d in sources.items()]
+    sources = {n: table(spark, folder, n).select("snapshot_year", item_number("value_qid").alias("code")) for n in ("claims", "temporal_facts")}
+    periods = sorted({y for d in sources.values() for y in snapshot_list(d, "snapshot_year")})
     labels = table(spark, folder, "labels").select(item_number("id").alias("code"), "created_at", "deleted_at")
-    parents = parent_bitmaps(labels, "code", "created_at", "deleted_at", *span, instant=lambda y: F.make_date(y, F.lit(1), F.lit(1)).cast("timestamp_ntz"))
-    refs = reference_bitmaps(codes[0].unionByName(codes[1]), ["table_name"], "snapshot_year", "code")
-    return orphan_references(refs, parents, ["table_name"]).select("table_name", F.col("_period").alias("snapshot_year"), item_id("code").alias("value_qid"), "kind")
+    parents = parent_bitmaps(labels, "code", "created_at", "deleted_at", periods, instant=lambda y: F.make_date(y, F.lit(1), F.lit(1)).cast("timestamp_ntz"))
+    orphans = orphan_references(sources, parents, "snapshot_year", "code", periods)
+    return orphans.select(F.col("source").alias("table_name"), F.col("period").alias("snapshot_year"), item_id("code").alias("value_qid"), "kind")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,6 +122,11 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return adjacency(table(spark, folder, "entity_docs"), "row_no", "line")
 
 
+def p4_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that give no rows, by reason."""
+    return rejected_lines(table(spark, folder, "entity_docs"), "line")
+
+
 # 5. What changed between full snapshots
 
 
@@ -150,12 +154,24 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("p", "s", "v")
 
 
+_TREE_CODES = 1000  # a tree of p7_hierarchies is year times this plus the number of the property
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     paths = hierarchy(_links(spark, folder), "p", "s", "v")
     text = F.array_join(F.transform("path", item_id), "/")
     return paths.select(property_id("tree").alias("pid"), item_id("node").alias("node_qid"), F.coalesce(item_id("root"), F.lit("")).alias("root_qid"), "depth", F.coalesce(text, F.lit("")).alias("path"))
 
 
+def p7_hierarchies(spark: SparkSession, folder: str) -> DataFrame:
+    """The hierarchies of every snapshot, each pid of each snapshot a tree of its own: root and depth of each node."""
+    rows = statements(spark, folder, "rank").filter(F.col("p").isin(131, 279, 361) & (rank_name("rank") != "deprecated"))
+    trees = rows.select((F.col("y").cast("bigint") * _TREE_CODES + F.col("p")).alias("t"), "s", "v")
+    paths = hierarchy(trees, "t", "s", "v")
+    year, pid = F.floor(F.col("tree") / _TREE_CODES).cast("int"), F.pmod(F.col("tree"), F.lit(_TREE_CODES))
+    return paths.select(year.alias("snapshot_year"), property_id(pid).alias("pid"), item_id("node").alias("node_qid"), F.coalesce(item_id("root"), F.lit("")).alias("root_qid"), "depth")
+
+
 def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """All descendants of each node with their distance."""
     pairs = descendants(hierarchy(_links(spark, folder), "p", "s", "v"))
@@ -163,10 +179,17 @@ def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TREE_SQL = f"""
-WITH RECURSIVE e AS (SELECT p, s, min(v) AS v FROM ({_STATEMENTS_SQL}) WHERE y = 2025 AND p IN (131, 279, 361) AND rank <> 'deprecated' AND s IS NOT NULL AND v IS NOT NULL GROUP BY p, s),
-n AS (SELECT p, s AS node FROM e UNION SELECT p, v FROM e),
+WITH RECURSIVE l AS (SELECT p, s, v FROM ({_STATEMENTS_SQL}) WHERE y = 2025 AND p IN (131, 279, 361) AND rank <> 'deprecated' AND s IS NOT NULL AND v IS NOT NULL),
+e AS (SELECT p, s, min(v) AS v FROM l GROUP BY p, s), n AS (SELECT p, s AS node FROM l UNION SELECT p, v FROM l),
 t AS (SELECT p, node, node AS root, 0 AS depth, 'Q' || node AS path FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.p = n.p AND e.s = n.node)
   UNION ALL SELECT e.p, e.s, t.root, t.depth + 1, t.path || '/Q' || e.s FROM t JOIN e ON e.p = t.p AND e.v = t.node)"""
+_TREES_SQL = f"""
+WITH RECURSIVE l AS (SELECT y, p, s, v FROM ({_STATEMENTS_SQL}) WHERE y IS NOT NULL AND p IN (131, 279, 361) AND rank <> 'deprecated' AND s IS NOT NULL AND v IS NOT NULL),
+e AS (SELECT y, p, s, min(v) AS v FROM l GROUP BY y, p, s), n AS (SELECT y, p, s AS node FROM l UNION SELECT y, p, v FROM l),
+t AS (SELECT y, p, node, node AS root, 0 AS depth FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.y = n.y AND e.p = n.p AND e.s = n.node)
+  UNION ALL SELECT e.y, e.p, e.s, t.root, t.depth + 1 FROM t JOIN e ON e.y = t.y AND e.p = t.p AND e.v = t.node)"""
+P7_HIERARCHIES_SQL = f"""{_TREES_SQL}
+SELECT n.y AS snapshot_year, 'P' || n.p AS pid, 'Q' || n.node AS node_qid, COALESCE('Q' || t.root, '') AS root_qid, CAST(COALESCE(t.depth, -1) AS INT) AS depth FROM n LEFT JOIN t ON t.y = n.y AND t.p = n.p AND t.node = n.node"""
 P7_FOUND_SQL = f"""{_TREE_SQL}
 SELECT 'P' || n.p AS pid, 'Q' || n.node AS node_qid, COALESCE('Q' || t.root, '') AS root_qid, CAST(COALESCE(t.depth, -1) AS INT) AS depth, COALESCE(t.path, '') AS path FROM n LEFT JOIN t ON t.p = n.p AND t.node = n.node"""
 P7_DESCENDANTS_SQL = f"""{_TREE_SQL},
@@ -174,5 +197,5 @@ u AS (SELECT p, node, node AS up, 0 AS distance FROM t UNION ALL SELECT u.p, u.n
 SELECT 'P' || p AS pid, 'Q' || up AS node_qid, 'Q' || node AS descendant_qid, CAST(distance AS INT) AS distance FROM u WHERE distance > 0"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p3_found, p3_report, p4_found, p4_nodes, p5_found, p7_found, p7_descendants)}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_descendants": P7_DESCENDANTS_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p3_found, p3_report, p4_found, p4_nodes, p4_rejected, p5_found, p7_found, p7_hierarchies, p7_descendants)}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_hierarchies": P7_HIERARCHIES_SQL, "p7_descendants": P7_DESCENDANTS_SQL}
