@@ -12,6 +12,9 @@ from .ids import BLANKS
 
 #: Sign and year, then a month and a day of two digits each, both optional; whatever follows does not count.
 TIME_PATTERN = r"^([+-]?[0-9]+)(?:-([0-9]{2})(?:-([0-9]{2}))?)?"
+#: The same in parts: a whole day as it is mostly written; a year from 1 to 9999, a month and a day that there are.
+_PLAIN = r"^(?!0000)[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$"
+_YEAR, _MONTH, _DAY = r"^\+?0*([1-9][0-9]{0,3})(?![0-9])", r"^[+-]?[0-9]+-(0[1-9]|1[0-2])", r"^[+-]?[0-9]+-[0-9]{2}-(0[1-9]|[12][0-9]|3[01])"
 #: Number of the day 0001-01-01 before 1970-01-01, and of 9999-12-31 counted from 0001-01-01.
 DAYS_TO_EPOCH, LAST_DAY = 719162, 3652058
 
@@ -26,22 +29,12 @@ def parse_day(text: Column | str) -> Column:
     A missing, zero or impossible month or day (13, 32) counts as the first; a day that the month lacks (February
     30), a year outside 1..9999 and any other text give null. Never raises, whatever the text.
     """
-    t = F.trim(_col(text), F.lit(BLANKS))
-    iso = (
-        (F.length(t) == 10)
-        & (F.substring(t, 5, 1) == "-")
-        & (F.substring(t, 8, 1) == "-")
-        & F.substring(t, 6, 2).between("01", "12")
-        & F.substring(t, 9, 2).between("01", "31")
-        & (F.substring(t, 1, 1) >= "0")
-    )
-    part = lambda k: F.regexp_extract(t, TIME_PATTERN, k)
-    year = part(1).try_cast("int")
-    month = F.when(part(2).between("01", "12"), part(2)).otherwise("01")
-    day = F.when(part(3).between("01", "31"), part(3)).otherwise("01")
-    built = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), month, F.lit("-"), day)
-    slow = F.when(year.between(1, 9999), built.try_cast("date"))
-    return F.when(iso & (F.substring(t, 1, 4) >= "0001"), t.try_cast("date")).otherwise(slow)
+    raw = _col(text)
+    t = F.trim(raw, F.lit(BLANKS))
+    part = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    first = F.lit("01")
+    slow = F.concat(F.lpad(part(_YEAR), 4, "0"), F.lit("-"), F.coalesce(part(_MONTH), first), F.lit("-"), F.coalesce(part(_DAY), first))
+    return F.when(raw.rlike(_PLAIN), raw.try_cast("date")).otherwise(slow.try_cast("date"))
 
 
 def days_of(texts: Column | str) -> Column:
