@@ -4,7 +4,8 @@ The dimension holds, for each key, the versions of its attributes with the first
 compares the hash of a key's attributes with that of the key's current version, the one still open at the snapshot before:
 an equal hash extends it, an unequal one closes it at the snapshot before and inserts a new open version, a key that the snapshot lacks
 has its version closed, a new key gets an open one. ``merge_snapshots`` does that for one snapshot or many, in their order,
-into a dimension or into none: versions and states of a key meet in one exchange and are merged there, key by key.
+into a dimension or into none: versions and states of a key meet in one exchange and are merged there, key by key. Each state meets the
+version that is current before it; where it does not continue it, that version is closed with its last snapshot and a new one is inserted.
 """
 
 from __future__ import annotations
@@ -22,11 +23,6 @@ def attribute_hash(attributes: Sequence[str]) -> Column:
     return F.xxhash64(F.lit(True), *(x for a in attributes for x in (F.col(a).isNull(), F.col(a))))
 
 
-def _place(at: Column, snapshots: Sequence[int]) -> Column:
-    """Place of a snapshot in the list of all snapshots, from 1."""
-    return F.array_position(F.lit(list(snapshots)).cast("array<bigint>"), at.cast("bigint"))
-
-
 def merge_snapshots(rows: DataFrame, key: Sequence[str], snapshot: str, attributes: Sequence[str] | Mapping[str, Column], snapshots: Sequence[int], versions: DataFrame | None = None) -> DataFrame:
     """The dimension after all snapshots in ``rows``: key, attributes, ``valid_from``, ``valid_to`` (snapshots, both inclusive).
 
@@ -40,28 +36,30 @@ def merge_snapshots(rows: DataFrame, key: Sequence[str], snapshot: str, attribut
     """
     key, made = list(key), attributes if isinstance(attributes, Mapping) else None
     attributes = list(attributes)
-    state = F.struct(attribute_hash(attributes).alias("h"), *(F.col(a) for a in attributes))
-    given = rows.filter(F.col(snapshot).isNotNull()).dropna(subset=key).groupBy(*key, F.col(snapshot).cast("bigint").alias("_at"))
-    states = given.agg(*(c.alias(a) for a, c in made.items())).withColumn("_s", state) if made else given.agg(F.max(state).alias("_s"))
-    step = lambda first, last: F.struct(first.alias("first"), last.alias("last"), F.col("_s").alias("s"))
-    met = states.select(*key, step(F.col("_at"), F.col("_at")).alias("_v"))
+    places = F.lit(list(snapshots) or [0]).cast("array<bigint>")
+    place = lambda c: F.array_position(places, F.col(c).cast("bigint")).cast("int")
+    given = rows.filter(F.col(snapshot).isNotNull()).dropna(subset=key).groupBy(*key, F.col(snapshot).alias("_at"))
+    if made:
+        states = given.agg(*(c.alias(a) for a, c in made.items()))
+    else:
+        states = given.agg(F.max(F.struct(attribute_hash(attributes).alias("_h"), *(F.col(a) for a in attributes))).alias("_s")).select(*key, "_at", *(F.col(f"_s.{a}").alias(a) for a in attributes))
+    met = states.select(*key, *attributes, place("_at").alias("_first"), place("_at").alias("_last"))
     if versions is not None:
-        old = versions.select(*key, F.col("valid_from").cast("bigint").alias("valid_from"), F.col("valid_to").cast("bigint").alias("valid_to"), state.alias("_s"))
-        met = met.unionByName(old.select(*key, step(F.col("valid_from"), F.col("valid_to")).alias("_v")))
-    inputs = met.groupBy(*key).agg(F.array_sort(F.collect_list("_v")).alias("_v"))
-
-    def merge(done: Column, new: Column) -> Column:
-        """One state into the versions so far, the last of which is the current one: extend it, or leave it closed and open another."""
-        current = F.try_element_at(done, F.lit(-1))
-        follows = _place(new["first"], snapshots) == _place(current["last"], snapshots) + 1
-        same = F.coalesce(follows & (current["s"]["h"] == new["s"]["h"]), F.lit(False))
-        extended = F.struct(current["first"].alias("first"), new["last"].alias("last"), current["s"].alias("s"))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(extended))).otherwise(F.concat(done, F.array(new)))
-
-    merged = inputs.select(*key, F.aggregate(F.slice("_v", 2, F.size("_v")), F.slice("_v", 1, 1), merge).alias("_v"))
+        met = met.unionByName(versions.select(*key, *attributes, place("valid_from").alias("_first"), place("valid_to").alias("_last")))
+    step = F.struct(F.col("_first").alias("first"), F.col("_last").alias("last"), attribute_hash(attributes).alias("h"), *(F.col(a) for a in attributes))
+    inputs = met.repartition(*(F.col(k) for k in key)).groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("_v"))
+
+    def changed(current: Column, new: Column) -> Column:
+        """Whether a state is no continuation of the version that is current before it: a gap between them or unequal hashes."""
+        return (current["last"] != new["first"] - 1) | (current["h"] != new["h"])
+
+    v = F.col("_v")
+    inserted = F.filter(v, lambda x, i: (i == 0) | changed(F.get(v, i - 1), x))
+    closed = F.filter(v, lambda x, i: (i == F.size(v) - 1) | changed(x, F.get(v, i + 1)))
+    merged = inputs.select(*key, F.zip_with(inserted, closed, lambda new, end: new.withField("last", end["last"])).alias("_v"))
     out = merged.select(*key, F.explode("_v").alias("_v"))
-    kind = rows.schema[snapshot].dataType
-    return out.select(*key, *(F.col(f"_v.s.{a}").alias(a) for a in attributes), F.col("_v.first").cast(kind).alias("valid_from"), F.col("_v.last").cast(kind).alias("valid_to"))
+    named = lambda c: F.element_at(places, F.col(f"_v.{c}")).cast(rows.schema[snapshot].dataType)
+    return out.select(*key, *(F.col(f"_v.{a}").alias(a) for a in attributes), named("first").alias("valid_from"), named("last").alias("valid_to"))
 
 
 def build_history(rows: DataFrame, key: Sequence[str], snapshot: str, attributes: Sequence[str] | Mapping[str, Column] = ()) -> DataFrame:
