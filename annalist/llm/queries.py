@@ -29,19 +29,18 @@ def _trusted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Survivors by consensus whose votes follow the order of the rows: first the value, then, among the rows with it, rank and dates."""
-    rows = _trusted(spark, folder)
+    """Survivors by consensus of whole rows (value, trust, dates) whose votes follow the order of the rows.
+
+    Value and rank are those of the surviving row, the dates those of the consensus of the rows with its value.
+    """
     number = F.lpad(F.col("v").cast("string"), 18, "0")  # of one length, so that the smallest text is the smallest number
-    value = F.coalesce(number, F.lit(""))
-    best = checkpoint(consensus.consensus(rows.withColumn("value", value), _GROUP, "value", "w", dominant=True).filter("n_rows > 1").select(*_GROUP, F.col("value").alias("best")))
-    names = F.create_map(F.lit(2), F.lit("preferred"), F.lit(1), F.lit("normal"), F.lit(0), F.lit("deprecated"))
-    fields = {"rank": names[F.col("trust")], "start_date": F.col("start_date").cast("string"), "end_date": F.col("end_date").cast("string")}
-    of_best = rows.join(best, _GROUP).filter(value == F.col("best"))
-    long = of_best.select(*_GROUP, "w", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()))).alias("f")).select(*_GROUP, "w", "f.*")
-    kept = consensus.consensus(long, [*_GROUP, "field"], "value", "w", dominant=True)
-    wide = kept.groupBy(*_GROUP).agg(*(F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in fields))
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return best.join(wide, _GROUP).select(F.col("a").cast("string").alias("anchor_date"), item_id("s").alias("subject_qid"), property_id("p").alias("pid"), F.when(F.col("best") == "", "").otherwise(item_id(F.col("best").cast("bigint"))).alias("value_qid"), "rank", text("start_date"), text("end_date"))
+    record = F.array(F.coalesce(number, F.lit("")), F.col("trust").cast("string"), F.col("start_date").cast("string"), F.col("end_date").cast("string"))
+    kept = consensus.consensus(_trusted(spark, folder).withColumn("record", record), _GROUP, "record", "w", dominant=True).filter("n_rows > 1")
+    value = F.col("value")[0]
+    names = F.create_map(F.lit("2"), F.lit("preferred"), F.lit("1"), F.lit("normal"), F.lit("0"), F.lit("deprecated"))
+    text = lambda i: F.coalesce(F.col("consensus")[i], F.lit(""))
+    item = F.when(value == "", "").otherwise(item_id(value.cast("bigint")))
+    return kept.select(F.col("a").cast("string").alias("anchor_date"), item_id("s").alias("subject_qid"), property_id("p").alias("pid"), item.alias("value_qid"), names[F.col("value")[1]].alias("rank"), text(2).alias("start_date"), text(3).alias("end_date"))
 
 
 P6_FOUND_SQL = f"""

@@ -108,16 +108,54 @@ def test_mix(spark):
 
 def test_alignment():
     assert consensus.tokens_of("Jean-Luc  B") == ["Jean", "-", "Luc", "B"] and consensus.tokens_of("") == []
-    assert consensus.columns("a b c", "a x c d") == [(0, 0, "a"), (1, 0, "x"), (2, 0, "c"), (2, 1, "d")]
-    assert consensus.columns("a b c", "c") == [(0, 0, ""), (1, 0, ""), (2, 0, "c")]
-    assert consensus.distance(["a", "b"], "a c d") == 2
+    cut = str.split
+    assert consensus.placed(consensus.skeleton([(cut("a b c"), 2), (cut("a x c d"), 1)]), cut("a x c d")) == cut("a x c d")
+    assert consensus.placed(consensus.skeleton([(cut("a b c"), 2)]), ["c"]) == ["", "", "c"]
+    assert consensus.skeleton([(cut("a b"), 3), (cut("a c b"), 2), (cut("c b"), 1)]) == [{"a": 5}, {"c": 3}, {"b": 6}]
+    assert consensus.distance(["a", "b"], cut("a c d")) == 2
     rnd = random.Random(2)
     for _ in range(60):
         a, b = ([rnd.choice("xyz") for _ in range(rnd.randrange(7))] for _ in range(2))
         d = {(i, 0): i for i in range(8)} | {(0, j): j for j in range(8)}
         for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
             d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-        assert consensus.distance(a, " ".join(b)) == d[len(a), len(b)]
+        assert consensus.distance(a, b) == d[len(a), len(b)]
+
+
+def test_alignment_in_linear_space_needs_as_few_edits(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(40):
+        a, b = ([rnd.choice("wxyz") for _ in range(rnd.randrange(1, 60))] for _ in range(2))
+        least = consensus.distance(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(consensus, "CELLS", 3)
+            got = consensus.pairs(a, b)
+            assert consensus.distance(a, b) == least
+        assert [x for x, _ in got if x is not None] == list(range(len(a))) and [x for _, x in got if x is not None] == list(range(len(b)))
+    long = ["x"] * 3000 + list("abc") + ["y"] * 1500
+    assert consensus.distance(long, ["x"] * 2000 + ["y"] * 3000) > 0
+
+
+def test_the_vote_and_not_the_guide_chooses():
+    assert consensus.agree_texts([("the red old hall", 3), ("the new old hall", 2), ("the new old barn", 2)]) == ("the new old hall".split(), 1)
+    row = lambda *x: tuple(x)
+    best = [(row("7", "2", None, None), 9), (row("7", "1", "2001", None), 8), (row("5", "2", "1999", "2005"), 7), (row("7", "0", "1998", "2004"), 1)]
+    assert consensus.agree_records(best, True) == (["7", "2", "2001", "2004"], 0)
+    assert consensus.agree_records([(row("5", "1", "a"), 3), (row("7", "1", "b"), 2), (row("7", "2", "c"), 2)]) == (["7", "1", "b"], 1)
+
+
+@pytest.mark.parametrize("dominant", [False, True])
+def test_large_groups_come_out_like_small_ones(spark, dominant):
+    """Chunks, skeletons of skeletons and votes counted over tasks: records agree with one task exactly, texts find the planted consensus."""
+    rnd = random.Random(11)
+    data = [(g, [rnd.choice("pqr"), rnd.choice(["1", "2", None]), rnd.choice([None, *map(str, range(30))])], rnd.randrange(1, 50)) for g in (1, 2, None) for _ in range(150)]
+    df = spark.createDataFrame(data, "g int, v array<string>, w bigint")
+    one, cut = (sorted(map(str, consensus.consensus(df, ["g"], "v", "w", dominant, chunk).collect())) for chunk in (512, 9))
+    assert one == cut and len(one) == 3
+    words = "the seat of the old town council was moved to the new hall".split()
+    texts = [(1, " ".join(w if rnd.random() < 0.9 else f"x{rnd.randrange(1000)}" for w in words if rnd.random() < 0.97), 1) for _ in range(150)] + [(1, " ".join(words), 2), (2, "x", 1)]
+    got = {r.g: r for r in consensus.consensus(spark.createDataFrame(texts, "g int, v string, w int"), ["g"], "v", "w", dominant, 4).collect()}
+    assert got[2].value == "x" and got[1].n_rows == 151 and (dominant or (got[1].consensus == words and got[1].value == " ".join(words)))
 
 
 def test_consensus(spark):
