@@ -2,8 +2,9 @@
 
 The budget of each source follows from the shares and from what the scarcest source can give with its repeats. Whole passes over
 a source come first; the rest of its budget is fitted: documents are counted by exact token length, counts are taken in
-proportion to the lengths there are, then a bounded-knapsack dynamic programme over lengths closes the remaining gap as far as any
-choice within its window can. Which documents of a length are used is decided by a seeded order.
+proportion to the lengths there are, then a bounded-knapsack dynamic programme over lengths rearranges a window at the end of the budget
+to close the remaining gap. The window holds at least two of the longest documents and doubles, up to the whole budget, until the gap is closed, so
+that what remains of it could not be closed by any choice of documents. Which documents of a length are used is decided by a seeded order.
 
 Only counts by (source, length) reach the programme, one source to a task; their number is that of distinct lengths. Documents of a
 length are ranked in buckets of the seeded order, so that a length shared by a third of all documents is never sorted in one task.
@@ -11,13 +12,15 @@ length are ranked in buckets of the seeded order, so that a length shared by a t
 
 from __future__ import annotations
 
+from math import gcd
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-#: Tokens that the dynamic programme may rearrange at the end of a budget, and buckets of the seeded order.
+#: Least number of tokens that the dynamic programme rearranges at first, and buckets of the seeded order.
 WINDOW, BUCKETS = 8192, 1024
 
 
@@ -43,24 +46,38 @@ def reach(budget: int, lengths: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def fit(budget: int, counts: dict[int, int], window: int = WINDOW) -> dict[int, int]:
-    """Number of documents of each length, at most ``counts``, whose tokens sum to the budget or as little below it as can be."""
+    """Number of documents of each length, at most ``counts``, whose tokens sum to the budget or as little below it as can be.
+
+    Lengths and budget are divided by the lengths' greatest common divisor, so a budget that no sum can meet is lowered to one
+    that could be. ``window`` is the first size of what is rearranged; it doubles until the sum is the budget or all of it was rearranged.
+    """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
     if budget >= total:
         return dict(counts)
-    took = {n: c * budget // total for n, c in counts.items()}
-    left = budget - sum(n * k for n, k in took.items())
-    for n in sorted(counts, reverse=True):
-        more = min(counts[n] - took[n], left // n)
-        took[n] += more
-        left -= n * more
-    for n in sorted(counts):
-        back = min(took[n], max(0, (window - left) // n))
-        took[n] -= back
-        left += n * back
-    for n, k in reach(left, sorted((n, counts[n] - took[n]) for n in counts)).items():
-        took[n] += k
-    return {n: k for n, k in took.items() if k}
+    if budget <= 0:
+        return {}
+    unit = gcd(*counts)
+    counts, budget, total = {n // unit: c for n, c in counts.items()}, budget // unit, total // unit
+    window = max(window, 2 * max(counts))
+    while True:
+        took = {n: c * budget // total for n, c in counts.items()}
+        left = budget - sum(n * k for n, k in took.items())
+        for n in sorted(counts, reverse=True):
+            more = min(counts[n] - took[n], left // n)
+            took[n] += more
+            left -= n * more
+        if left:
+            for n in sorted(counts):
+                back = took[n] if window >= budget else min(took[n], max(0, (window - left) // n))
+                took[n] -= back
+                left += n * back
+            for n, k in reach(left, sorted((n, counts[n] - took[n]) for n in counts)).items():
+                took[n] += k
+                left -= n * k
+        if not left or window >= budget:
+            return {n * unit: k for n, k in took.items() if k}
+        window *= 2
 
 
 _PLAN = "mix_name string, source string, n_tokens bigint, passes bigint, extra bigint"
@@ -124,10 +141,11 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, seed: str = "mix") -
 
 
 def mix_report(used: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_name, source, target_share, real_share, n_docs, available_tokens, used_docs, used_tokens, most_repeats of each target."""
+    """mix_name, source, target_share, real_share, n_docs, available_tokens, used_docs, used_tokens, most_repeats of each target,
+    and ``gap_tokens``, what its budget has beyond them."""
     docs = documents.select(source_name("source").alias("source"), "n_tokens").filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available"))
     got = used.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("used_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"))
     met = budgets(targets, sizes).join(got, ["mix_name", "source"], "left").fillna(0, ["used_docs", "used_tokens", "most_repeats"])
     real = F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0))
-    return met.select("mix_name", "source", F.round("share", 6).alias("target_share"), F.round(real, 6).alias("real_share"), "n_docs", F.col("available").alias("available_tokens"), "used_docs", "used_tokens", "most_repeats")
+    return met.select("mix_name", "source", F.round("share", 6).alias("target_share"), F.round(real, 6).alias("real_share"), "n_docs", F.col("available").alias("available_tokens"), "used_docs", "used_tokens", "most_repeats", (F.col("budget") - F.col("used_tokens")).alias("gap_tokens"))

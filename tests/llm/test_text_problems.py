@@ -84,6 +84,18 @@ def test_fit(budget):
     assert used == min(budget, total) or budget < min(n for n in counts if n)
 
 
+@pytest.mark.parametrize(
+    "budget,counts,used",
+    [(27_000, {10_000: 3, 9_000: 3}, 27_000), (400_000, {30_011: 9, 20_021: 9, 10_037: 9}, None), (5, {7: 3}, 0), (100_000, {50_001: 1, 49_999: 1, 60_000: 5}, 100_000), (1_000_003, {9_973: 90, 10_007: 70}, None), (123_456_789, {n: 40_000 for n in range(50, 150)}, 123_456_789)],
+)
+def test_no_choice_comes_closer(budget, counts, used):
+    took = mixing.fit(budget, counts, 16)
+    got = sum(n * k for n, k in took.items())
+    assert all(0 < k <= counts[n] for n, k in took.items()) and got <= budget
+    best = got if used is not None else sum(n * k for n, k in mixing.reach(budget, sorted(counts.items())).items())
+    assert got == best and used in (None, got)
+
+
 def test_mix(spark):
     rnd = random.Random(1)
     docs = [(i, rnd.choice(["a", " A", "B", "b ", None, "", "c"]), rnd.choice([0, 3, 7, 7, 7, 7, 50, 120])) for i in range(400)]
@@ -99,7 +111,7 @@ def test_mix(spark):
     assert abs(size["m", "a"] - total * 0.75) <= 3 and abs(size["m", "b"] - total * 0.25) <= 3 and size["n", "b"] == 3 * have["b"]
     assert max(r.repeats for r in got if (r.mix_name, r.source) == ("m", "a")) <= 2 and min(r.repeats for r in got) >= 1
     report = {(r.mix_name, r.source): r for r in mixing.mix_report(mixing.mix(d, t, "doc_id"), d, t).collect()}
-    assert report["m", "none"].real_share == 0 and abs(report["m", "a"].real_share - 0.75) < 0.01 and report["m", "a"].target_share == 0.6
+    assert all(0 <= r.gap_tokens <= 3 for r in report.values()) and report["m", "none"].real_share == 0 and abs(report["m", "a"].real_share - 0.75) < 0.01 and report["m", "a"].target_share == 0.6
     assert mixing.mix(d.limit(0), t, "doc_id").count() == 0 and mixing.mix(d, t.limit(0), "doc_id").count() == 0
 
 
