@@ -128,13 +128,13 @@ def plural(noun: Column | str) -> Column:
 def is_clean_label(label: Column | str) -> Column:
     """Two to a hundred ASCII letters, digits, blanks, hyphens, apostrophes and points that say something; null is not clean."""
     t = F.lower(squeeze(label))
-    ok = (F.length(_c(label)) >= 2) & ~t.isin(BAD_LABELS) & ~t.rlike("^(?:unknown|none|null) ") & _c(label).rlike(r"^[A-Za-z0-9\s\-'.]{2,100}$")
+    ok = (F.length(_c(label)) >= 2) & ~t.isin(BAD_LABELS) & ~t.rlike("^(?:unknown|none|null) ") & _c(label).rlike(r"^[A-Za-z0-9\s\p{Z}\-'.]{2,100}$")
     return F.coalesce(ok, F.lit(False))
 
 
 def is_placeholder(answer: Column | str) -> Column:
     t = F.lower(squeeze(answer))
-    return t.isin(BAD_LABELS) | t.rlike("^(?:unknown|none|null|n/a)")
+    return (t == "") | t.isin(BAD_LABELS) | t.rlike("^(?:unknown|none|null|n/a)")
 
 
 def good_question(question: Column | str, answer: Column | str, short_numbers: bool = False) -> Column:

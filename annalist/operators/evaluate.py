@@ -6,6 +6,7 @@ called on batches; no model is part of this engine.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import char_ngrams, match_key, meets, normalize, overlap, prepared, word_tokens
+from ..functions.text import match_key, meets, normalize, prepared
 
 #: Texts of the prompt's lines (fixed values).
 USER, ASSISTANT = "User: ", "Assistant: "
@@ -106,11 +107,26 @@ def score(turns: DataFrame, mode: str = "relaxed", semantic: Callable[[Column, C
     return out.withColumn("error_label", label)
 
 
+_COUNTS = ["tok_tp", "tok_pred", "tok_gold", "chr_tp", "chr_pred", "chr_gold"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _COUNTS]))
+def _overlaps(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """Counts of words and of three-character grams of two match keys, and of those they share; each distinct key is cut once a batch."""
+    grams = lambda s: Counter([s[i : i + 3] for i in range(max(1, len(s) - 2))] if s else ())
+    cut = {k: (Counter(k.split()), grams(k.replace(" ", ""))) for k in {*pred, *gold}}
+    both = {}
+    for p, g in zip(pred, gold, strict=True):
+        if (p, g) not in both:
+            (tp, cp), (tg, cg) = cut[p], cut[g]
+            both[p, g] = ((tp & tg).total(), tp.total(), tg.total(), (cp & cg).total(), cp.total(), cg.total())
+    return pd.DataFrame([both[x] for x in zip(pred, gold, strict=True)], columns=_COUNTS, dtype="int32")
+
+
 def overlaps(scored: DataFrame) -> DataFrame:
-    """Adds token and three-character counts of the overlap of prediction and gold answer."""
-    ready = scored.withColumns({"_tp": word_tokens("pred"), "_tg": word_tokens("answer"), "_cp": char_ngrams("pred"), "_cg": char_ngrams("answer")})
-    sizes = {"tok_pred": F.size("_tp"), "tok_gold": F.size("_tg"), "chr_pred": F.size("_cp"), "chr_gold": F.size("_cg")}
-    return ready.withColumns({"tok_tp": overlap(F.col("_tp"), F.col("_tg")), "chr_tp": overlap(F.col("_cp"), F.col("_cg")), **sizes}).drop("_tp", "_tg", "_cp", "_cg")
+    """Adds token and three-character counts of the overlap of prediction and gold answer; texts are normalised once, in one column each."""
+    keyed = scored.withColumn("_o", _overlaps(match_key("pred"), match_key("answer")))
+    return keyed.select(*scored.columns, "_o.*")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import coin, good_chain, good_question, plural, question_key, seeded
 from ..schemas import COUNTED, GROUPS, PROPERTIES, WORDINGS
-from .joins import complement_join, consecutive_anchors, hop_join, pair_neighbours, three_hop_join
+from .joins import complement_join, consecutive_anchors, hop_join, one_each, pair_neighbours, three_hop_join
 from .sampling import cap_groups
 
 SCOPE = ["snapshot_year", "anchor_date", "truth_type"]
@@ -118,20 +118,22 @@ def turn_rows(df: DataFrame) -> DataFrame:
 
 
 def direct(best: DataFrame) -> DataFrame:
-    return flat(best.withColumns({"question": explicit(), "answer": F.col("value_label"), "year": F.col("snapshot_year")}), "direct")
+    """One question for each subject label and property."""
+    return flat(one_each(best, [*SCOPE, "subject_label", "pid"]).withColumns({"question": explicit(), "answer": F.col("value_label"), "year": F.col("snapshot_year")}), "direct")
 
 
 def multihop_2(best: DataFrame) -> DataFrame:
-    """Second hop of a row, asked about by way of the first; the property and value are those of the second."""
+    """Second hop of a row, asked about by way of the first; subject, property and value are those of the second, so its subject is the entity between."""
     met = hop_join(best.select(*ROW), SCOPE)
     asked = F.concat(F.lit("Taking the "), F.try_element_at(_map(2), F.col("pid")), F.lit(" of "), F.col("subject_label"), F.lit(", "), F.try_element_at(_map(1), F.col("n_pid")), F.lit(" is its "), F.try_element_at(_map(2), F.col("n_pid")), F.lit("?"))
-    return flat(met.select(*SCOPE, "subject_label", "subject_qid", F.col("n_pid").alias("pid"), F.col("n_value_label").alias("value_label"), F.col("n_value_qid").alias("value_qid"), F.col("snapshot_year").alias("year"), asked.alias("question"), F.col("n_value_label").alias("answer")), "multihop_2", 2)
+    return flat(met.select(*SCOPE, F.col("value_label").alias("subject_label"), F.col("value_qid").alias("subject_qid"), F.col("n_pid").alias("pid"), F.col("n_value_label").alias("value_label"), F.col("n_value_qid").alias("value_qid"), F.col("snapshot_year").alias("year"), asked.alias("question"), F.col("n_value_label").alias("answer")), "multihop_2", 2)
 
 
 def multihop_3(best: DataFrame) -> DataFrame:
+    """Third hop of a row; subject, property and value are those of the third, so its subject is the last entity between."""
     met = three_hop_join(best.select(*ROW), SCOPE)
     asked = F.concat(F.lit("Who is chief executive of the owner of the employer of "), F.col("subject_label"), F.lit("?"))
-    return flat(met.select(*SCOPE, "subject_label", "subject_qid", F.col("t_pid").alias("pid"), F.col("t_value_label").alias("value_label"), F.col("t_value_qid").alias("value_qid"), F.col("snapshot_year").alias("year"), asked.alias("question"), F.col("t_value_label").alias("answer")), "multihop_3", 3)
+    return flat(met.select(*SCOPE, F.col("n_value_label").alias("subject_label"), F.col("n_value_qid").alias("subject_qid"), F.col("t_pid").alias("pid"), F.col("t_value_label").alias("value_label"), F.col("t_value_qid").alias("value_qid"), F.col("snapshot_year").alias("year"), asked.alias("question"), F.col("t_value_label").alias("answer")), "multihop_3", 3)
 
 
 def value_counts(rich: DataFrame, keys: list[str], pids: list[str] = COUNTED) -> DataFrame:
@@ -179,22 +181,21 @@ def carryover(best: DataFrame, then: bool = False) -> DataFrame:
 
 
 def cross_entity_then(best: DataFrame, seed: str | int = 42, cap: int | None = 2000) -> DataFrame:
-    """The same property of two subjects, paired in seeded order."""
+    """The same property of two subjects, paired in seeded order; pairs of one label are left out."""
     rows = best.select(*ROW)
     keys = [*SCOPE, "pid"]
-    pairs = pair_neighbours(rows, keys, "subject_label", seed, cap)
-    a = rows.withColumnRenamed("subject_label", "a").withColumn("subject_label", F.col("a"))
-    b = rows.select(*keys, F.col("subject_label").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ROW))
-    met = pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"])
-    asked = question("followup_then", F.col("b_pid"), key=F.col("b_subject_label"))
-    second = F.concat(F.lit("And for "), F.col("b_subject_label"), F.lit(", "), F.lower(F.regexp_replace(asked, r"\?$", "")), F.lit("?"))
+    pairs = pair_neighbours(rows, keys, "subject_qid", seed, cap)
+    a = rows.withColumn("a", F.col("subject_qid"))
+    b = rows.select(*keys, F.col("subject_qid").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ROW))
+    met = pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"]).filter(F.col("subject_label") != F.col("b_subject_label"))
+    asked = [question(form, F.col("b_pid"), key=F.col("b_subject_label")) for form in ("followup", "followup_then")]
+    second = F.concat(F.lit("Turning to "), F.col("b_subject_label"), F.lit(": "), F.lower(F.when(F.col("truth_type") == "timeless", asked[0]).otherwise(asked[1])))
     return chains(met.withColumn("turns", F.array(turn(explicit(), year=F.col("snapshot_year")), turn(second, "b_", F.col("snapshot_year")))), "cross_entity_then")
 
 
 def by_year(rows: DataFrame, keys: list[str], seed: str | int = 42) -> DataFrame:
     """One row for each key and qualifier year, the first in seeded order of its value."""
-    w = Window.partitionBy(*keys, "year").orderBy(seeded(seed, F.col("value_qid")), "value_qid", "value_label", "subject_qid")
-    return rows.filter(F.col("year").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return one_each(rows.filter(F.col("year").isNotNull()), [*keys, "year"], seed)
 
 
 def scope_switch(rows: DataFrame, seed: str | int = 42) -> DataFrame:
@@ -287,7 +288,7 @@ def multi_turn_chain(best: DataFrame, seed: str | int = 42, least: int = 3, most
                     if i == 0:
                         q = x["q_first"]
                     elif i >= 3 and draw < 40:
-                        q = f"And for {r.subject_label}, {x['q_next'].lower().rstrip('?')}?"
+                        q = f"Turning to {r.subject_label}: {x['q_next'].lower()}"
                     else:
                         q = x["q_then"] if r.truth_type == "temporal" and draw < 35 else x["q_next"]
                     if q.lower() not in words:
@@ -301,14 +302,17 @@ def multi_turn_chain(best: DataFrame, seed: str | int = 42, least: int = 3, most
 
 
 def cross_anchor_switch(best: DataFrame, seed: str | int = 42) -> DataFrame:
-    """A subject at an anchor and at the next one: two properties, then those and up to two further ones later. No gate, as in the reference."""
-    rows = best.filter(F.col("truth_type") == "temporal").select(*ROW)
+    """A subject at an anchor and at the next one of the year: two properties, then the first again and up to two further ones later. No gate, as in the reference."""
     keys = ["truth_type", "subject_label"]
-    both = consecutive_anchors(rows, keys)
-    w = Window.partitionBy(*keys, "anchor_date").orderBy(seeded(seed, F.col("subject_label"), F.col("pid")), "pid", "value_qid", "b_value_qid")
-    plan = both.withColumn("_k", F.dense_rank().over(w)).filter("_k <= 4")
-    first = F.when(F.col("_k") == 1, explicit()).otherwise(question("followup", F.col("pid"), key=F.col("subject_label")))
-    later = F.when(F.col("_k") == 1, question("switch", F.col("pid"), year=F.col("b_snapshot_year"), key=F.col("subject_label"))).otherwise(question("followup_then", F.col("pid"), key=F.col("subject_label")))
+    both = consecutive_anchors(best.select(*ROW), keys, seed=seed)
+    group = Window.partitionBy(*keys, "anchor_date")
+    placed = both.withColumns({"_k": F.row_number().over(group.orderBy(seeded(seed, F.col("subject_label"), F.col("pid")), "pid")), "_n": F.count(F.lit(1)).over(group)})
+    draw = F.conv(F.substring(seeded(seed, F.col("subject_label"), F.col("anchor_date"), "length"), 1, 8), 16, 10).cast("bigint")
+    plan = placed.filter(F.col("_k") <= 2 + draw % (F.least(F.lit(4), F.col("_n")) - 1))
+    then = (F.col("truth_type") != "timeless") & coin(35, seed, F.col("subject_label"), F.col("pid"), "form")
+    next_ = F.when(then, question("followup_then", F.col("pid"), key=F.col("subject_label"))).otherwise(question("followup", F.col("pid"), key=F.col("subject_label")))
+    first = F.when(F.col("_k") == 1, explicit()).otherwise(next_)
+    later = F.when(F.col("_k") == 1, question("switch", F.col("pid"), year=F.col("b_snapshot_year"), key=F.col("subject_label"))).otherwise(next_)
     old = F.when(F.col("_k") <= 2, F.struct(F.lit(0).alias("o"), F.col("_k").alias("k"), turn(first, year=F.col("snapshot_year")).alias("t")))
     new = F.when(F.col("_k") != 2, F.struct(F.lit(1).alias("o"), F.col("_k").alias("k"), turn(later, "b_", F.col("b_snapshot_year")).alias("t")))
     told = plan.groupBy(*keys, F.col("anchor_date").alias("anchor_from"), F.col("next_anchor").alias("anchor_to"), "snapshot_year").agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(old, new))))).alias("_l"))

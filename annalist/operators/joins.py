@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import seeded
 from ..schemas import COMPLEMENTS, THREE_HOPS, TWO_HOPS
+from .sampling import seeded_ranks
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -21,10 +22,17 @@ def complement_of(pid: Column | str, pairs: dict[str, str] = COMPLEMENTS) -> Col
     return F.try_element_at(table, F.col(pid) if isinstance(pid, str) else pid)
 
 
-def complement_join(df: DataFrame, keys: Sequence[str], pairs: dict[str, str] = COMPLEMENTS) -> DataFrame:
-    """Each row with the rows of the same keys under the completing property; the columns of these begin with ``b_``."""
-    left = df.withColumn("_other", complement_of("pid", pairs)).filter(F.col("_other").isNotNull())
-    return left.join(prefixed(df, "b_"), [F.col("_other") == F.col("b_pid"), *(F.col(k) == F.col(f"b_{k}") for k in keys)]).drop("_other")
+def one_each(df: DataFrame, keys: Sequence[str], seed: str | int = 42) -> DataFrame:
+    """One row for each key, the first in seeded order of its value, so that entities of one label stand for one."""
+    w = Window.partitionBy(*keys).orderBy(seeded(seed, F.col("value_qid")), "value_qid", "value_label", "subject_qid")
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def complement_join(df: DataFrame, keys: Sequence[str], pairs: dict[str, str] = COMPLEMENTS, seed: str | int = 42) -> DataFrame:
+    """For each key and property one row with one of the completing property; the columns of the latter begin with ``b_``."""
+    one = one_each(df, [*keys, "pid"], seed)
+    left = one.withColumn("_other", complement_of("pid", pairs)).filter(F.col("_other").isNotNull())
+    return left.join(prefixed(one, "b_"), [F.col("_other") == F.col("b_pid"), *(F.col(k) == F.col(f"b_{k}") for k in keys)]).drop("_other")
 
 
 def hop_join(df: DataFrame, within: Sequence[str], rules: Sequence[tuple[str, str]] = TWO_HOPS, order: Sequence[str] = ("value_label",), left: str = "", identity: Sequence[str] | None = None) -> DataFrame:
@@ -67,14 +75,17 @@ def annotate_present(df: DataFrame, present: DataFrame, answer: str = "answer",
 
 
 def next_anchors(df: DataFrame) -> DataFrame:
-    """anchor_date and next_anchor of consecutive anchors; as many rows as there are anchors."""
-    days = df.select("anchor_date").distinct()
-    return days.withColumn("next_anchor", F.lead("anchor_date").over(Window.orderBy("anchor_date"))).filter(F.col("next_anchor").isNotNull())
+    """anchor_date and next_anchor of consecutive anchors of a snapshot year; as many rows as there are anchors."""
+    days = df.select("snapshot_year", "anchor_date").distinct()
+    w = Window.partitionBy("snapshot_year").orderBy("anchor_date")
+    return days.withColumn("next_anchor", F.lead("anchor_date").over(w)).filter(F.col("next_anchor").isNotNull())
 
 
-def consecutive_anchors(df: DataFrame, keys: Sequence[str], least: int = 2) -> DataFrame:
-    """Rows at an anchor joined with those of the same keys and property at the next one (``b_``), for keys with ``least`` such properties."""
-    met = df.join(F.broadcast(next_anchors(df)), "anchor_date").join(prefixed(df, "b_"), [F.col("next_anchor") == F.col("b_anchor_date"), F.col("pid") == F.col("b_pid"), *(F.col(k) == F.col(f"b_{k}") for k in keys)])
+def consecutive_anchors(df: DataFrame, keys: Sequence[str], least: int = 2, seed: str | int = 42) -> DataFrame:
+    """For each key and property a row at an anchor with one at the next anchor of the same snapshot year (``b_``), for keys with ``least`` such properties."""
+    one = one_each(df, ["snapshot_year", "anchor_date", *keys, "pid"], seed)
+    same = [F.col(c) == F.col(f"b_{c}") for c in ("snapshot_year", "pid", *keys)]
+    met = one.join(F.broadcast(next_anchors(df)), ["snapshot_year", "anchor_date"]).join(prefixed(one, "b_"), [F.col("next_anchor") == F.col("b_anchor_date"), *same])
     enough = met.groupBy(*keys, "anchor_date").agg(F.count_distinct("pid").alias("_n")).filter(F.col("_n") >= least).drop("_n")
     return met.join(enough, [*keys, "anchor_date"], "left_semi")
 
@@ -82,14 +93,11 @@ def consecutive_anchors(df: DataFrame, keys: Sequence[str], least: int = 2) -> D
 def pair_neighbours(df: DataFrame, group: Sequence[str], item: str, seed: str | int = 42, cap: int | None = 2000) -> DataFrame:
     """Items of a group paired without replacement in a seeded order: group, pair_no, a, b.
 
-    ``cap`` is the feature's own limit: only the first ``cap`` + 1 items in that order are paired (None: all). The limit is a
-    row_number filter, which Spark applies in every task before the shuffle, so that no task sorts a whole group.
+    ``cap`` is the feature's own limit: only the first ``cap`` + 1 items in that order are paired (None: all). Ranks are taken by
+    buckets of the order, so that no task sorts a large group (see ``seeded_ranks``).
     """
-    order = seeded(seed, *(F.col(g) for g in group), F.col(item))
-    w = Window.partitionBy(*group).orderBy(order, item)
-    ranked = df.select(*group, item).distinct().withColumn("_rn", F.row_number().over(w))
-    if cap:
-        ranked = ranked.filter(F.col("_rn") <= 2 * ((cap + 1) // 2))
+    items = df.select(*group, item).distinct()
+    ranked = seeded_ranks(items, group, seeded(seed, *(F.col(g) for g in group), F.col(item)), [item], 2 * ((cap + 1) // 2) if cap else None)
     no = F.floor((F.col("_rn") - 1) / 2).cast("bigint")
     halves = ranked.groupBy(*group, no.alias("pair_no")).agg(F.min(F.struct("_rn", F.col(item).alias("v"))).alias("_a"), F.max(F.struct("_rn", F.col(item).alias("v"))).alias("_b"))
     return halves.filter(F.col("_a._rn") < F.col("_b._rn")).select(*group, "pair_no", F.col("_a.v").alias("a"), F.col("_b.v").alias("b"))

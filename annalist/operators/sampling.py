@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded
@@ -17,12 +17,38 @@ def cap_rows(df: DataFrame, n: int | None, seed: str | int, key: Sequence[str])
     return df.orderBy(seeded(seed, *(F.col(k) for k in key)), *key).limit(n)
 
 
+#: Rows of a group from which its seeded order is ranked by buckets.
+LARGE = 100_000
+
+
+def seeded_ranks(df: DataFrame, group: Sequence[str], order: Column, key: Sequence[str], most: int | None = None, large: int = LARGE) -> DataFrame:
+    """``df`` with ``_rn``, the rank of a row in its group by ``order`` (hex digits of a hash), then ``key``; ranks up to ``most`` only (None: all).
+
+    A group of more than ``large`` rows falls into 65,536 buckets by the first four digits. Rows are ranked within their bucket, beginning
+    after the number of rows in earlier ones, and buckets that begin beyond ``most`` are left out before, so that no task ever sorts a whole group.
+    """
+    rows = df.withColumn("_h", order)
+    named = lambda d: d.select(*(F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)), *(c for c in d.columns if c not in group))
+    same = lambda *more: [*(F.col(g).eqNullSafe(F.col(f"_g_{i}")) for i, g in enumerate(group)), *more]
+    drop = [f"_g_{i}" for i in range(len(group))]
+    sizes = named(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > large))
+    bucket = F.when(F.col("_size").isNotNull(), F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")).otherwise(-1)
+    rows = rows.join(sizes, same(), "left").withColumn("_bucket", bucket).drop(*drop, "_size")
+    filled = rows.filter("_bucket >= 0").groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_n")
+    begins = named(filled.select(*group, F.col("_bucket").alias("_b"), before.alias("_before")))
+    rows = rows.join(begins, same(F.col("_bucket") == F.col("_b")), "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    if most:
+        rows = rows.filter(F.col("_before") < most)
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_h", *key)) + F.col("_before"))
+    return (ranked.filter(F.col("_rn") <= most) if most else ranked).drop(*drop, "_b", "_before", "_bucket", "_h")
+
+
 def cap_groups(df: DataFrame, group: Sequence[str], n: int | None, seed: str | int, key: Sequence[str]) -> DataFrame:
-    """At most ``n`` rows of each group in seeded order."""
+    """At most ``n`` rows of each group in seeded order, ranked by buckets of it (see ``seeded_ranks``)."""
     if not n or n < 0:
         return df
-    w = Window.partitionBy(*group).orderBy(seeded(seed, *(F.col(k) for k in key)), *key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return seeded_ranks(df, group, seeded(seed, *(F.col(k) for k in key)), key, n).drop("_rn")
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, seed: str | int, key: str) -> DataFrame:

@@ -83,18 +83,21 @@ def rich_best(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 # Truth at anchor dates
 
-# The SQL below has only these two anchors, the queries have all of ``build_truth``.
-_TRUTH = S.truth(("01-01", "07-01"))
+_TRUTH = S.truth(("01-01", "04-01", "07-01", "10-01"))
+_QUALIFIERS = [c for c in QUALIFIERS.values() if c not in ("q_start_time", "q_end_time", "q_point_in_time")]
 _DATED = ["snapshot_year", "anchor_date", "subject_qid", "pid", "value_qid", "rank", "rank_score", "start_date", "end_date", "pit_date"]
 
 
 def _truth(spark: SparkSession, folder: str, kind: str, best: bool) -> DataFrame:
+    """Rows at all four anchors; all of them with the qualifiers they carry, as texts."""
     rows = build_truth(base_claims(spark, folder)).filter(F.col("truth_type") == kind)
-    return (best_truth(rows) if best else rows).select(*(_DATED if kind == "temporal" else _DATED[:7]))
+    carried = [] if best else [F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in _QUALIFIERS]
+    return (best_truth(rows) if best else rows).select(*(_DATED if kind == "temporal" else _DATED[:7]), *carried)
 
 
 def _truth_sql(kind: str, rows: str) -> str:
-    return f"WITH {_TRUTH} SELECT {', '.join(_DATED if kind == 'temporal' else _DATED[:7])} FROM {rows} WHERE truth_type = '{kind}'"
+    carried = [] if rows == "best" else [f"COALESCE(array_to_string({c}, '|'), '') AS {c}" for c in _QUALIFIERS]
+    return f"WITH {_TRUTH} SELECT {', '.join([*(_DATED if kind == 'temporal' else _DATED[:7]), *carried])} FROM {rows} WHERE truth_type = '{kind}'"
 
 
 @query(_truth_sql("temporal", "best"), "anchor_date start_date end_date pit_date")
@@ -185,14 +188,13 @@ def year_coalesce(spark, folder):
 _PAIR = "a.anchor_date, a.subject_label, a.pid, a.value_label, b.pid AS b_pid, b.value_label AS b_value_label"
 
 
-@query(f"WITH {S.FACTS} SELECT {_PAIR} FROM best a JOIN best b ON a.anchor_date = b.anchor_date AND a.subject_label = b.subject_label AND b.pid = {S.complement('a.pid')}", "anchor_date")
+@query(f"WITH {S.FACTS} SELECT {_PAIR} FROM one a JOIN one b ON a.anchor_date = b.anchor_date AND a.subject_label = b.subject_label AND b.pid = {S.complement('a.pid')}", "anchor_date")
 def complement_pairs(spark, folder):
     best = rich_best(spark, folder)[1]
     return complement_join(best, ["anchor_date", "subject_label"]).select("anchor_date", "subject_label", "pid", "value_label", "b_pid", "b_value_label")
 
 
-_YEARLY = S.truth(("01-01",))  # the SQL has only the first of January
-_NAMED = f"{_YEARLY}, {S.LABELS}, named AS (SELECT DISTINCT b.anchor_date, s.label AS subject_label, b.pid, v.label AS value_label FROM best b JOIN lab s ON s.id = b.subject_qid JOIN lab v ON v.id = b.value_qid)"
+_NAMED = f"{_TRUTH}, {S.LABELS}, named AS (SELECT DISTINCT b.anchor_date, s.label AS subject_label, b.pid, v.label AS value_label FROM best b JOIN lab s ON s.id = b.subject_qid JOIN lab v ON v.id = b.value_qid)"
 
 
 def _named_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,8 +240,8 @@ def present_day_drift(spark, folder):
 
 
 @query(
-    f"""WITH {S.FACTS}, d AS (SELECT anchor_date, lead(anchor_date) OVER (ORDER BY anchor_date) AS next_anchor FROM (SELECT DISTINCT anchor_date FROM best)),
-m AS (SELECT a.anchor_date, d.next_anchor, a.subject_label, a.pid, a.value_label, b.value_label AS b_value_label FROM best a JOIN d USING (anchor_date) JOIN best b ON b.anchor_date = d.next_anchor AND b.subject_label = a.subject_label AND b.pid = a.pid)
+    f"""WITH {S.FACTS}, d AS (SELECT anchor_date, lead(anchor_date) OVER (PARTITION BY snapshot_year ORDER BY anchor_date) AS next_anchor FROM (SELECT DISTINCT snapshot_year, anchor_date FROM best)),
+m AS (SELECT a.anchor_date, d.next_anchor, a.subject_label, a.pid, a.value_label, b.value_label AS b_value_label FROM one a JOIN d USING (anchor_date) JOIN one b ON b.snapshot_year = a.snapshot_year AND b.anchor_date = d.next_anchor AND b.subject_label = a.subject_label AND b.pid = a.pid)
 SELECT * FROM m WHERE (anchor_date, subject_label) IN (SELECT (anchor_date, subject_label) FROM m GROUP BY anchor_date, subject_label HAVING count(DISTINCT pid) >= 2)""",
     "anchor_date next_anchor",
 )
@@ -265,12 +267,12 @@ def _flat_sql(rows: str) -> str:
     return f"WITH {S.FACTS}, q AS ({rows}) SELECT anchor_date, subject_label, pid, question, answer FROM q WHERE {S.good_question('question', 'answer')}"
 
 
-@query(_flat_sql(f"SELECT a.anchor_date, a.subject_label, a.pid, {S.explicit()} AS question, a.value_label AS answer FROM best a"), "anchor_date")
+@query(_flat_sql(f"SELECT a.anchor_date, a.subject_label, a.pid, {S.explicit()} AS question, a.value_label AS answer FROM one a"), "anchor_date")
 def direct_questions(spark, folder):
     return G.direct(rich_best(spark, folder)[1]).select(*_KEYS)
 
 
-_COUNTS = f"SELECT snapshot_year, anchor_date, subject_label, pid, count(DISTINCT value_label) AS n FROM rich WHERE pid IN ({', '.join(repr(p) for p in G.COUNTED)}) GROUP BY ALL"
+_COUNTS = f"SELECT snapshot_year, anchor_date, subject_label, pid, count(DISTINCT value_label) AS n FROM rich WHERE pid IN ({', '.join(repr(p) for p in S.COUNTED)}) GROUP BY ALL"
 
 
 @query(_flat_sql(f"SELECT anchor_date, subject_label, pid, 'How many ' || {S.plural('(' + S.by_pid('pid', 2) + ')')} || ' did ' || subject_label || ' have in ' || snapshot_year || '?' AS question, CAST(n AS VARCHAR) AS answer FROM ({_COUNTS}) WHERE n >= 2"), "anchor_date")
@@ -285,7 +287,7 @@ def count_distinct_values(spark, folder):
 
 
 def _two_sql(word: str, value: str, where: str) -> str:
-    return f"""WITH {S.FACTS}, c AS (SELECT snapshot_year, anchor_date, truth_type, pid, year, subject_label, count(DISTINCT value_label) AS n FROM rich WHERE year IS NOT NULL AND pid IN ({', '.join(repr(p) for p in G.COUNTED)}) GROUP BY ALL),
+    return f"""WITH {S.FACTS}, c AS (SELECT snapshot_year, anchor_date, truth_type, pid, year, subject_label, count(DISTINCT value_label) AS n FROM rich WHERE year IS NOT NULL AND pid IN ({', '.join(repr(p) for p in S.COUNTED)}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, truth_type, pid, year ORDER BY {S.seeded("'42'", 'snapshot_year', 'anchor_date', 'truth_type', 'pid', 'year', 'subject_label')}, subject_label) AS k FROM c),
 p AS (SELECT a.anchor_date, a.pid, a.year, a.subject_label AS a, b.subject_label AS b, a.n AS n_a, b.n AS n_b FROM r a JOIN r b ON a.anchor_date = b.anchor_date AND a.snapshot_year = b.snapshot_year AND a.pid = b.pid AND a.year = b.year AND b.k = a.k + 1 AND a.k % 2 = 1)
 SELECT anchor_date, pid, CAST(year AS INT) AS year, a, b, {value} AS result FROM p WHERE {where}"""
@@ -312,9 +314,9 @@ def _turns(df: DataFrame) -> DataFrame:
     return G.turn_rows(df).select(*_TURNS)
 
 
-def _chain_sql(family: str, with_: str, key: str) -> str:
+def _chain_sql(family: str, with_: str, key: str, base: str = S.FACTS) -> str:
     """``with_`` ends in a table ``t`` of turns with a chain's ``key`` and turn_index; the gate is applied by chain."""
-    return f"""WITH {S.FACTS}, {with_}, ok AS (SELECT {key} FROM t GROUP BY {key} HAVING bool_and({S.good_question('question', 'answer')}) AND count(DISTINCT lower({S.squeeze('question')})) = count(*)
+    return f"""WITH {base}, {with_}, ok AS (SELECT {key} FROM t GROUP BY {key} HAVING bool_and({S.good_question('question', 'answer')}) AND count(DISTINCT lower({S.squeeze('question')})) = count(*)
   AND (count(*) < 3 OR count(DISTINCT lower({S.squeeze('answer')})) > 1))
 SELECT '{family}' AS family, anchor_date, CAST(turn_index AS INT) AS turn_index, question, answer, CAST(year AS INT) AS year, pid, subject_label, value_label FROM t WHERE ({key}) IN (SELECT ({key}) FROM ok)"""
 
@@ -331,7 +333,7 @@ t AS (SELECT k, a_anchor_date AS anchor_date, 0 AS turn_index, {first} AS questi
 
 
 _SIDES = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("snapshot_year", "anchor_date", "truth_type", "subject_label", "subject_qid", "pid", "value_label", "value_qid", "year"))
-_COMPLETED = f"SELECT {_SIDES} FROM best a JOIN best b ON a.snapshot_year = b.snapshot_year AND a.anchor_date = b.anchor_date AND a.subject_label = b.subject_label AND b.pid = {S.complement('a.pid')}"
+_COMPLETED = f"SELECT {_SIDES} FROM one a JOIN one b ON a.snapshot_year = b.snapshot_year AND a.anchor_date = b.anchor_date AND a.subject_label = b.subject_label AND b.pid = {S.complement('a.pid')}"
 
 
 @query(_two_turns_sql("carryover", _COMPLETED, S.question("followup", "b_pid", key="a_subject_label")), "anchor_date")
@@ -344,10 +346,11 @@ def carryover_then_chains(spark, folder):
     return _turns(G.carryover(rich_best(spark, folder)[1], then=True))
 
 
-_CROSS = f"""SELECT {_SIDES} FROM (SELECT r1.anchor_date, r1.snapshot_year, r1.pid, r1.subject_label AS s1, r2.subject_label AS s2 FROM ranked r1 JOIN ranked r2 ON r1.anchor_date = r2.anchor_date AND r1.snapshot_year = r2.snapshot_year AND r1.pid = r2.pid AND r2.k = r1.k + 1 AND r1.k % 2 = 1) p
-  JOIN best a ON a.anchor_date = p.anchor_date AND a.snapshot_year = p.snapshot_year AND a.pid = p.pid AND a.subject_label = p.s1 JOIN best b ON b.anchor_date = p.anchor_date AND b.snapshot_year = p.snapshot_year AND b.pid = p.pid AND b.subject_label = p.s2"""
-_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, pid ORDER BY {S.seeded(chr(39) + '42' + chr(39), 'snapshot_year', 'anchor_date', 'truth_type', 'pid', 'subject_label')}, subject_label) AS k FROM (SELECT DISTINCT snapshot_year, anchor_date, truth_type, pid, subject_label FROM best))"
-_THEN_FOR = f"('And for ' || b_subject_label || ', ' || lower(regexp_replace({S.question('followup_then', 'b_pid', key='b_subject_label')}, '\\?$', '')) || '?')"
+_CROSS = f"""SELECT {_SIDES} FROM ranked r1 JOIN ranked r2 ON r1.anchor_date = r2.anchor_date AND r1.snapshot_year = r2.snapshot_year AND r1.pid = r2.pid AND r2.k = r1.k + 1 AND r1.k % 2 = 1
+  JOIN best a ON a.anchor_date = r1.anchor_date AND a.snapshot_year = r1.snapshot_year AND a.pid = r1.pid AND a.subject_qid = r1.subject_qid
+  JOIN best b ON b.anchor_date = r2.anchor_date AND b.snapshot_year = r2.snapshot_year AND b.pid = r2.pid AND b.subject_qid = r2.subject_qid WHERE a.subject_label <> b.subject_label"""
+_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, pid ORDER BY {S.seeded(chr(39) + '42' + chr(39), 'snapshot_year', 'anchor_date', 'truth_type', 'pid', 'subject_qid')}, subject_qid) AS k FROM (SELECT DISTINCT snapshot_year, anchor_date, truth_type, pid, subject_qid FROM best))"
+_THEN_FOR = f"('Turning to ' || b_subject_label || ': ' || lower({S.question('followup_then', 'b_pid', key='b_subject_label')}))"
 
 
 @query(_two_turns_sql("cross_entity_then", _CROSS, _THEN_FOR).replace("pairs AS (SELECT row_number()", _RANKED + ", pairs AS (SELECT row_number()", 1), "anchor_date")
@@ -419,41 +422,133 @@ def multi_turn_chains(spark, folder):
     return _turns(G.multi_turn_chain(_anchor_best(spark, folder)))
 
 
-@query()
-def cross_anchor_chains(spark, folder):
-    made = G.cross_anchor_switch(rich_best(spark, folder)[1])
-    return made.select("chain_id", "anchor_from", "anchor_to", F.inline("turns")).drop("subject_qid", "value_qid")
+_ALL_NAMED = f"""{_TRUTH}, {S.LABELS}, nb AS (SELECT b.snapshot_year, b.anchor_date, b.truth_type, b.subject_qid, s.label AS subject_label, b.pid, b.value_qid, v.label AS value_label FROM best b JOIN lab s ON s.id = b.subject_qid JOIN lab v ON v.id = b.value_qid
+  WHERE b.pid IN ({', '.join(repr(p[0]) for p in S.PROPERTIES)}))"""
 
 
-@query()
+def _hops_sql(rows: str) -> str:
+    """CTEs two and three: questions over hops of the named rows, asked about the entity between."""
+    key = "snapshot_year, anchor_date, truth_type"
+    same = lambda a, b: f"{a}.snapshot_year = {b}.snapshot_year AND {a}.anchor_date = {b}.anchor_date AND {a}.truth_type = {b}.truth_type"
+    m = lambda c: f"({S.by_pid(c, 2)})"
+    return f"""f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, subject_label, pid ORDER BY value_label, subject_qid, value_qid) AS n FROM {rows}) WHERE n = 1),
+h2 AS (SELECT *, row_number() OVER (PARTITION BY {key}, a_subject_label, a_subject_qid, a_pid, a_value_label, a_value_qid ORDER BY pid) AS n FROM (SELECT a.subject_label AS a_subject_label, a.subject_qid AS a_subject_qid, a.pid AS a_pid, a.value_label AS a_value_label, a.value_qid AS a_value_qid, b.* EXCLUDE n
+  FROM {rows} a JOIN (VALUES {S.HOP_RULES}) r(p, q) ON r.p = a.pid JOIN f1 b ON {same('a', 'b')} AND b.subject_label = a.value_label AND b.pid = r.q)),
+two AS (SELECT 'multihop_2' AS family, {key}, a_value_label AS subject_label, a_value_qid AS subject_qid, pid, value_label, value_qid, snapshot_year AS year, value_label AS answer, 2 AS hops,
+  'Taking the ' || {m('a_pid')} || ' of ' || a_subject_label || ', ' || ({S.by_pid('pid', 1)}) || ' is its ' || {m('pid')} || '?' AS question FROM h2 WHERE n = 1),
+three AS (SELECT 'multihop_3' AS family, a.snapshot_year, a.anchor_date, a.truth_type, b.value_label AS subject_label, b.value_qid AS subject_qid, c.pid, c.value_label, c.value_qid, a.snapshot_year AS year, c.value_label AS answer, 3 AS hops,
+  'Who is chief executive of the owner of the employer of ' || a.subject_label || '?' AS question FROM {rows} a JOIN f1 b ON {same('a', 'b')} AND b.subject_label = a.value_label AND a.pid = 'P108' AND b.pid = 'P127' JOIN f1 c ON {same('a', 'c')} AND c.subject_label = b.value_label AND c.pid = 'P169')"""
+
+
+@query(f"WITH {_ALL_NAMED}, {_hops_sql('nb')} SELECT family, anchor_date, subject_label, pid, question, answer FROM (SELECT * FROM two UNION ALL SELECT * FROM three) WHERE {S.good_question('question', 'answer')}", "anchor_date")
 def multihop_questions(spark, folder):
     best = _anchor_best(spark, folder)
     return G.multihop_2(best).unionByName(G.multihop_3(best)).select("family", *_KEYS)
 
 
+_ALL_ONE = f"""{_ALL_NAMED}, one AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, truth_type, subject_label, pid ORDER BY {S.seeded("'42'", 'value_qid')}, value_qid, value_label, subject_qid) AS n FROM nb) WHERE n = 1)"""
+
+
+@query(f"WITH {_ALL_ONE} SELECT truth_type, anchor_date, subject_label, pid, question, answer FROM (SELECT *, {S.explicit('one')} AS question, value_label AS answer FROM one) WHERE {S.good_question('question', 'answer')}", "anchor_date")
+def direct_questions_all_truth(spark, folder):
+    """Direct questions about temporal and timeless rows at every anchor."""
+    return G.direct(_anchor_best(spark, folder)).select("truth_type", *_KEYS)
+
+
+@query(
+    _chain_sql("carryover", f"pairs AS (SELECT row_number() OVER () AS k, a.truth_type, a.snapshot_year, a.anchor_date, a.subject_label, a.pid, a.value_label, b.pid AS b_pid, b.value_label AS b_value_label FROM one a JOIN one b ON a.snapshot_year = b.snapshot_year AND a.anchor_date = b.anchor_date AND a.truth_type = b.truth_type AND a.subject_label = b.subject_label AND b.pid = {S.complement('a.pid')}),"
+    f" t AS (SELECT k, anchor_date, 0 AS turn_index, {S.explicit('x')} AS question, value_label AS answer, snapshot_year AS year, pid, subject_label, value_label FROM pairs x UNION ALL SELECT k, anchor_date, 1, {S.question('followup', 'b_pid', key='subject_label')}, b_value_label, snapshot_year, b_pid, subject_label, b_value_label FROM pairs)", "k", _ALL_ONE),
+    "anchor_date",
+)
+def carryover_chains_all_truth(spark, folder):
+    """Carry-over chains of temporal and timeless rows at every anchor."""
+    return _turns(G.carryover(_anchor_best(spark, folder)))
+
+
+_CROSSED = f"""d AS (SELECT anchor_date, lead(anchor_date) OVER (PARTITION BY snapshot_year ORDER BY anchor_date) AS next_anchor FROM (SELECT DISTINCT snapshot_year, anchor_date FROM best)),
+m AS (SELECT a.*, d.next_anchor, b.snapshot_year AS b_snapshot_year, b.value_label AS b_value_label FROM one a JOIN d USING (anchor_date) JOIN one b ON b.snapshot_year = a.snapshot_year AND b.anchor_date = d.next_anchor AND b.truth_type = a.truth_type AND b.subject_label = a.subject_label AND b.pid = a.pid),
+placed AS (SELECT *, row_number() OVER (PARTITION BY truth_type, subject_label, anchor_date ORDER BY {S.seeded("'42'", 'subject_label', 'pid')}, pid) AS k, count(*) OVER (PARTITION BY truth_type, subject_label, anchor_date) AS n FROM m),
+plan AS (SELECT *, CASE WHEN truth_type <> 'timeless' AND {S.coin(35, "'42'", 'subject_label', 'pid', "'form'")} THEN {S.question('followup_then', 'pid', key='subject_label')} ELSE {S.question('followup', 'pid', key='subject_label')} END AS next_question FROM placed
+  WHERE n >= 2 AND k <= 2 + CAST('0x' || substr({S.seeded("'42'", 'subject_label', 'anchor_date', "'length'")}, 1, 8) AS BIGINT) % (least(4, n) - 1))"""
+_CROSSED_TURNS = f"""SELECT anchor_date AS anchor_from, next_anchor AS anchor_to, CAST(0 AS INT) AS turn_index, {S.explicit('plan')} AS question, value_label AS answer, CAST(snapshot_year AS INT) AS year, pid, subject_label, value_label FROM plan WHERE k = 1
+UNION ALL SELECT anchor_date, next_anchor, 1, next_question, value_label, snapshot_year, pid, subject_label, value_label FROM plan WHERE k = 2
+UNION ALL SELECT anchor_date, next_anchor, 2, {S.question('switch', 'pid', year='b_snapshot_year', key='subject_label')}, b_value_label, b_snapshot_year, pid, subject_label, b_value_label FROM plan WHERE k = 1
+UNION ALL SELECT anchor_date, next_anchor, CAST(k AS INT), next_question, b_value_label, b_snapshot_year, pid, subject_label, b_value_label FROM plan WHERE k > 2"""
+
+
+@query(f"WITH {S.FACTS}, {_CROSSED} {_CROSSED_TURNS}", "anchor_from anchor_to")
+def cross_anchor_chains(spark, folder):
+    made = G.cross_anchor_switch(rich_best(spark, folder)[1])
+    return made.select("anchor_from", "anchor_to", F.inline("turns")).drop("subject_qid", "value_qid")
+
+
+# All families together
+
+_COUNTED_SQL = f"SELECT 'complex_count_distinct' AS family, snapshot_year, anchor_date, 'temporal' AS truth_type, 'How many ' || {S.plural('(' + S.by_pid('pid', 2) + ')')} || ' did ' || subject_label || ' have in ' || snapshot_year || '?' AS question, CAST(n AS VARCHAR) AS answer, pid, subject_label, qid AS subject_qid, NULL AS value_label, NULL AS value_qid, snapshot_year AS year, 1 AS hops FROM (SELECT snapshot_year, anchor_date, subject_label, pid, count(DISTINCT value_label) AS n, min(subject_qid) AS qid FROM rich WHERE pid IN ({', '.join(repr(p) for p in S.COUNTED)}) GROUP BY ALL) WHERE n >= 2"
+
+
+def _sums_sql(family: str, word: str, value: str, where: str) -> str:
+    asked = f"'Counting {word} ' || {S.plural('(' + S.by_pid('pid', 2) + ')')} || ' of ' || a || ' and ' || b || ' in ' || year || ', what is the number?'"
+    return f"SELECT '{family}' AS family, CAST(year(anchor_date) AS INT) AS snapshot_year, anchor_date, 'temporal' AS truth_type, {asked} AS question, CAST({value} AS VARCHAR) AS answer, pid, a || ' & ' || b AS subject_label, NULL AS subject_qid, NULL AS value_label, NULL AS value_qid, year, 1 AS hops FROM ep WHERE {where}"
+
+
+_ENTITY_PAIRS = f"""ec AS (SELECT snapshot_year, anchor_date, truth_type, pid, year, subject_label, count(DISTINCT value_label) AS n FROM rich WHERE year IS NOT NULL AND pid IN ({', '.join(repr(p) for p in S.COUNTED)}) GROUP BY ALL),
+er AS (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, truth_type, pid, year ORDER BY {S.seeded("'42'", 'snapshot_year', 'anchor_date', 'truth_type', 'pid', 'year', 'subject_label')}, subject_label) AS k FROM ec),
+ep AS (SELECT a.anchor_date, a.pid, a.year, a.subject_label AS a, b.subject_label AS b, a.n AS n_a, b.n AS n_b FROM er a JOIN er b ON a.anchor_date = b.anchor_date AND a.snapshot_year = b.snapshot_year AND a.pid = b.pid AND a.year = b.year AND b.k = a.k + 1 AND a.k % 2 = 1)"""
+_COLUMNS = "family, snapshot_year, anchor_date, truth_type, question, answer, pid, subject_label, subject_qid, value_label, value_qid, year, hops"
+#: All flat questions (no cap is reached on the test tables), unique by wording.
+_FLAT = f"""{S.FACTS}, {_ENTITY_PAIRS}, {_hops_sql('(SELECT snapshot_year, anchor_date, truth_type, subject_label, subject_qid, pid, value_label, value_qid FROM best)')},
+asked AS (SELECT 0 AS place, 'direct' AS family, snapshot_year, anchor_date, truth_type, {S.explicit('one')} AS question, value_label AS answer, pid, subject_label, subject_qid, value_label, value_qid, snapshot_year AS year, 1 AS hops FROM one
+  UNION ALL SELECT 1, {_COLUMNS} FROM two UNION ALL SELECT 2, {_COLUMNS} FROM three UNION ALL SELECT 3, {_COLUMNS} FROM ({_COUNTED_SQL})
+  UNION ALL SELECT 4, {_COLUMNS} FROM ({_sums_sql('complex_sum_two_entities', 'together the', 'n_a + n_b', 'TRUE')}) UNION ALL SELECT 5, {_COLUMNS} FROM ({_sums_sql('complex_diff_two_entities', 'the difference in', 'n_a - n_b', 'n_a <> n_b')})),
+flat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_year, anchor_date, truth_type, lower({S.squeeze('question')}) ORDER BY place, answer NULLS FIRST, year NULLS FIRST, pid NULLS FIRST, subject_label NULLS FIRST, subject_qid NULLS FIRST, value_label NULLS FIRST, value_qid NULLS FIRST) AS n FROM asked WHERE {S.good_question('question', 'answer')}) WHERE n = 1)"""
+_NOW = "SELECT subject_label, pid, min(value_label) AS value_label, min_by(value_qid, (value_label, value_qid)) AS value_qid FROM best WHERE anchor_date = (SELECT max(anchor_date) FROM best) GROUP BY subject_label, pid"
+
+
 def _made(spark, folder) -> tuple[DataFrame, DataFrame]:
     rich, best = (checkpoint(d) for d in rich_best(spark, folder))
     return G.all_flat(best, rich), G.all_chains(best, rich)
 
 
-@query()
+@query(
+    f"""WITH {_FLAT}, p AS ({_NOW}) SELECT {', '.join('f.' + c.strip() for c in _COLUMNS.split(',') if c.strip() != 'year')}, CAST(f.year AS INT) AS year, TRUE AS temporal, starts_with(f.family, 'complex_') AS analytic, md5(concat_ws('|', f.family, f.snapshot_year, f.anchor_date, f.truth_type, f.question)) AS id,
+  p.value_label AS present_day_answer, p.value_qid AS present_day_value_qid, COALESCE(p.value_label <> f.answer, FALSE) AS drift_eligible FROM flat f LEFT JOIN p ON p.subject_label = f.subject_label AND p.pid = f.pid""",
+    "anchor_date",
+)
 def flat_dataset(spark, folder):
     """All flat questions with present-day answers."""
     rich, best = (checkpoint(d) for d in rich_best(spark, folder))
     last = best.agg(F.max("anchor_date").alias("_last"))
     present = best.join(F.broadcast(last), F.col("anchor_date") == F.col("_last"), "left_semi")
-    return annotate_present(G.all_flat(best, rich), present)
+    return annotate_present(G.all_flat(best, rich), present).select("*", "difficulty.*").drop("difficulty")
 
 
 @query()
+def chain_dataset(spark, folder):
+    """All chains of single anchors, by turns."""
+    return _turns(_made(spark, folder)[1])
+
+
+#: Chains by family and number of turns: those that have a last turn and no further one.
+_CHAINS = " UNION ALL ".join(f"SELECT family, turn_index + 1 AS hops, count(*) AS n FROM ({SQL[q]}) GROUP BY ALL" for q in ("carryover_chains", "carryover_then_chains", "cross_entity_then_chains", "scope_switch_chains", "temporal_narrative_chains", "change_point_chains"))
+_LENGTHS = f"WITH c AS ({_CHAINS}) SELECT family, hops, n - COALESCE(lead(n) OVER (PARTITION BY family ORDER BY hops), 0) AS n FROM c"
+
+
+def _ruled(chains: DataFrame) -> DataFrame:
+    """Without multi-turn chains, whose greedy choice SQL cannot make (``chain_dataset`` and ``multi_turn_chains`` have them)."""
+    return chains.filter(F.col("family") != "multi_turn_chain")
+
+
+@query(f"SELECT family, CAST(sum(n) AS BIGINT) AS n FROM (SELECT family, count(*) AS n FROM (WITH {_FLAT} SELECT family FROM flat) GROUP BY family UNION ALL SELECT family, n FROM ({_LENGTHS})) GROUP BY family HAVING sum(n) > 0")
 def family_stats(spark, folder):
-    return G.family_stats(*_made(spark, folder))
+    flat, chains = _made(spark, folder)
+    return G.family_stats(flat, _ruled(chains))
 
 
-@query()
+@query(f"SELECT family, CAST(hops AS INT) AS hops, TRUE AS temporal, starts_with(family, 'complex_') AS analytic, CAST(n AS BIGINT) AS n FROM (SELECT family, hops, count(*) AS n FROM (WITH {_FLAT} SELECT family, hops FROM flat) GROUP BY ALL UNION ALL SELECT family, hops, n FROM ({_LENGTHS})) WHERE n > 0")
 def difficulty_struct(spark, folder):
     flat, chains = _made(spark, folder)
-    both = flat.select("family", "difficulty.*").unionByName(chains.select("family", "difficulty.*"))
+    both = flat.select("family", "difficulty.*").unionByName(_ruled(chains).select("family", "difficulty.*"))
     return both.groupBy("family", "hops", "temporal", "analytic").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,7 +14,10 @@ ITEM_QUALIFIERS = {
 TEXT_QUALIFIERS = {"P1545": "q_series_ordinal"}
 QUALIFIERS = {**TIME_QUALIFIERS, **ITEM_QUALIFIERS, **TEXT_QUALIFIERS}
 #: Main properties kept from entity documents.
-MAIN_PROPERTIES = "P6 P35 P39 P108 P463 P102 P169 P488 P127 P54 P286 P131 P17 P276 P69 P551 P27 P31 P279 P361 P355 P749 P155 P156 P106 P101 P50 P161 P175 P1344 P166".split()
+MAIN_PROPERTIES = [
+    "P6", "P35", "P39", "P108", "P463", "P102", "P169", "P488", "P127", "P54", "P286", "P131", "P17", "P276", "P69", "P551",
+    "P27", "P31", "P279", "P361", "P355", "P749", "P155", "P156", "P106", "P101", "P50", "P161", "P175", "P1344", "P166",
+]
 
 CLAIM_KEYS = ["snapshot_year", "subject_qid", "pid", "value_qid", "rank"]
 CLAIM_SCHEMA = T.StructType([T.StructField("snapshot_year", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in CLAIM_KEYS[1:]), *(T.StructField(c, T.ArrayType(T.StringType())) for c in QUALIFIERS.values())])
@@ -48,7 +51,7 @@ TWO_HOPS = [("P108", "P17"), ("P108", "P127"), ("P54", "P17"), ("P131", "P17"),
 THREE_HOPS = ("P108", "P127", "P169")
 COUNTED = ["P108", "P54", "P39", "P463", "P69"]
 #: Labels that say nothing.
-BAD_LABELS = ["", "unknown", "none", "null", "n/a", "na", "unknown value", "no value", "somevalue"]
+BAD_LABELS = ["unknown", "unknown value", "none", "null", "n/a", "na", "unspecified", "not known", "not applicable"]
 COMPLEMENTS = {p: c for p, _, _, _, c in PROPERTIES if c}
 GROUPS = {p: g for p, _, _, g, _ in PROPERTIES}
 

@@ -45,7 +45,7 @@ def test_day_lists(spark):
     assert dates.anchor_days([2022])[1] == dt.date(2022, 4, 1)
 
 
-CLEAN = {True: ["Angela Merkel", "O'Neil-Jones Jr.", "small ring", "unknowns"], False: ["A", "São Paulo", "AT&T", "Smith, John", "N/A", "unknown value", "Unknown artist", "NATION_0", "Customer#000000001", None, ""]}
+CLEAN = {True: ["no value", "somevalue", "Angela Merkel", "O'Neil-Jones Jr.", "small ring", "unknowns"], False: ["A", "São Paulo", "AT&T", "Smith, John", "N/A", "unknown value", "unspecified", "Not known", "not  applicable", "Unknown artist", "NATION_0", "Customer#000000001", None, ""]}
 
 
 @pytest.mark.parametrize("label,clean", [(x, k) for k, v in CLEAN.items() for x in v])
