@@ -71,19 +71,27 @@ def generate_predictions(prompts: DataFrame, generate: Callable[[list[str]], lis
 
 
 def answer_in_turn(turns: DataFrame, generate: Callable[[list[str]], list[list[str]]], system: str = "") -> DataFrame:
-    """chain_id, turn_index, preds where each prompt holds the generator's own earlier answers; one chain is one sequence."""
-
-    def run(chain: pd.DataFrame) -> pd.DataFrame:
-        lines, out = [system] if system else [], []
-        for _, t in chain.sort_values("turn_index").iterrows():
-            lines.append(USER + t["question"])
-            best = generate(["\n".join([*lines, ASSISTANT.rstrip()])])[0]
-            out.append((t["chain_id"], t["turn_index"], best[:1]))
-            lines.append(ASSISTANT + (best[0] if best else ""))
-        return pd.DataFrame(out, columns=["chain_id", "turn_index", "preds"])
+    """chain_id, turn_index, preds where each prompt holds the generator's own earlier answers.
 
+    A chain is one row with its turns in order; of all chains of an Arrow batch the first turns go to the generator together, then the second ones, and so on.
+    """
     plain = turns.select("chain_id", "turn_index", "question")
-    return plain.groupBy("chain_id").applyInPandas(run, T.StructType([plain.schema["chain_id"], plain.schema["turn_index"], T.StructField("preds", T.ArrayType(T.StringType()))]))
+    told = plain.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "question"))).alias("turns"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            chains = [(c, list(t), [system] if system else []) for c, t in zip(part["chain_id"], part["turns"], strict=True)]
+            out = []
+            for i in range(max((len(t) for _, t, _ in chains), default=0)):
+                now = [x for x in chains if len(x[1]) > i]
+                for _, t, lines in now:
+                    lines.append(USER + t[i]["question"])
+                for (chain, t, lines), best in zip(now, generate(["\n".join([*lines, ASSISTANT.rstrip()]) for _, _, lines in now]), strict=True):
+                    out.append((chain, t[i]["turn_index"], best[:1]))
+                    lines.append(ASSISTANT + (best[0] if best else ""))
+            yield pd.DataFrame(out, columns=["chain_id", "turn_index", "preds"])
+
+    return told.mapInPandas(run, T.StructType([plain.schema["chain_id"], plain.schema["turn_index"], T.StructField("preds", T.ArrayType(T.StringType()))]))
 
 
 def score(turns: DataFrame, mode: str = "relaxed", semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:

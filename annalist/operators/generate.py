@@ -143,7 +143,8 @@ def value_counts(rich: DataFrame, keys: list[str], pids: list[str] = COUNTED) ->
 
 def count_distinct(rich: DataFrame) -> DataFrame:
     counts = value_counts(rich, [*SCOPE, "subject_label", "pid"]).filter("n_values >= 2")
-    asked = F.concat(F.lit("How many "), plural(F.try_element_at(_map(2), F.col("pid"))), F.lit(" did "), F.col("subject_label"), F.lit(" have in "), F.col("snapshot_year").cast("string"), F.lit("?"))
+    have = F.when(F.col("truth_type") == "timeless", F.concat(F.lit(" does "), F.col("subject_label"), F.lit(" have?"))).otherwise(F.concat(F.lit(" did "), F.col("subject_label"), F.lit(" have in "), F.col("snapshot_year").cast("string"), F.lit("?")))
+    asked = F.concat(F.lit("How many "), plural(F.try_element_at(_map(2), F.col("pid"))), have)
     return flat(counts.withColumns({"question": asked, "answer": F.col("n_values").cast("string"), "year": F.col("snapshot_year")}), "complex_count_distinct")
 
 

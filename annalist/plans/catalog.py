@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import wraps
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from ..operators.joins import annotate_present, complement_join, consecutive_anc
 from ..operators.labels import attach_labels, build_labels, known_properties, one_label, with_known_ids
 from ..operators.sampling import cap_rows, stratified_sample
 from ..operators.truth import best_rows, best_truth, build_truth, rank_score, with_days
-from ..schemas import QUALIFIERS
-from ..session import checkpoint, table
+from ..schemas import ITEM_QUALIFIERS, MAIN_PROPERTIES, QUALIFIERS, TEXT_QUALIFIERS, TIME_QUALIFIERS
+from ..session import checkpoint, checkpoint_folder, table
 from ..sources.readers import read_chains
 from ..sources.sinks import write_jsonl
 from . import sqltext as S
@@ -130,12 +130,43 @@ def truth_pit_events(spark, folder):
 # Entity documents, labels
 
 
-@query()
+_MAIN = ", ".join(f"'{p}'" for p in MAIN_PROPERTIES)
+_DOC_CLAIMS = f"""r AS (SELECT row_no, snapshot_year, regexp_replace(regexp_replace(line, '^[\\s\\x{{FEFF}}]+|\\s+$', '', 'g'), '\\s*,$', '') AS t FROM entity_docs WHERE line IS NOT NULL),
+d AS (SELECT row_no, snapshot_year, CASE WHEN starts_with(t, '{{') AND suffix(t, '}}') AND json_valid(t) THEN t END AS t FROM r),
+docs AS (SELECT row_no, snapshot_year, t ->> '$.id' AS subject_qid, t -> '$.claims' AS claims FROM d WHERE t IS NOT NULL),
+k AS (SELECT * EXCLUDE claims, claims -> pid AS list FROM (SELECT *, unnest(json_keys(claims)) AS pid FROM docs WHERE starts_with(subject_qid, 'Q') AND json_type(claims) = 'OBJECT') WHERE pid IN ({_MAIN})),
+c AS (SELECT * EXCLUDE list, unnest(from_json(list, '["JSON"]')) AS claim FROM k WHERE json_type(list) = 'ARRAY')"""
+_item_sql = lambda x: f"CASE WHEN ({x} ->> '$.snaktype') = 'value' AND ({x} ->> '$.datavalue.value.entity-type') = 'item' AND regexp_full_match({x} ->> '$.datavalue.value.numeric-id', '[0-9]+') THEN 'Q' || ({x} ->> '$.datavalue.value.numeric-id') END"
+_time_sql = lambda x: f"json_extract_string({x}, '$.datavalue.value.time')"
+_day_text_sql = lambda x: f"CASE WHEN ({x} ->> '$.snaktype') = 'value' THEN CAST({sql_day(_time_sql(x))} AS VARCHAR) END"
+_text_sql = lambda x: f"CASE WHEN ({x} ->> '$.snaktype') = 'value' AND json_type({x} -> '$.datavalue.value') = 'VARCHAR' AND NOT starts_with({x} ->> '$.datavalue.value', '{{') THEN {x} ->> '$.datavalue.value' END"
+
+
+def _qualifier_sql(pid: str, value) -> str:
+    """Values of a qualifier as a list, null for none."""
+    found = f"list_filter(list_transform(from_json(claim -> '$.qualifiers.{pid}', '[\"JSON\"]'), lambda q: {value('q')}), lambda z: z IS NOT NULL)"
+    return f"CASE WHEN json_type(claim -> '$.qualifiers.{pid}') = 'ARRAY' AND len({found}) > 0 THEN {found} END"
+
+
+_SHAPES = {**{p: _day_text_sql for p in TIME_QUALIFIERS}, **{p: _item_sql for p in ITEM_QUALIFIERS}, **{p: _text_sql for p in TEXT_QUALIFIERS}}
+
+
+def _claims_sql(rest: str) -> str:
+    return f"""WITH {_DOC_CLAIMS} SELECT row_no, snapshot_year, subject_qid, pid, {_item_sql("(claim -> '$.mainsnak')")} AS value_qid, COALESCE(claim ->> '$.rank', 'normal') AS rank, {rest} FROM c
+WHERE json_type(claim) = 'OBJECT' AND COALESCE(claim ->> '$.rank', 'normal') <> 'deprecated' AND {_item_sql("(claim -> '$.mainsnak')")} IS NOT NULL"""
+
+
+def _lists_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, "|") for c, t in df.dtypes if t == "array<string>"})
+
+
+@query(_claims_sql(", ".join(f"array_to_string({_qualifier_sql(p, _SHAPES[p])}, '|') AS {c}" for p, c in QUALIFIERS.items())))
 def claims_flatten_json(spark, folder):
-    return extract_claims(table(spark, folder, "entity_docs"), "line", F.col("snapshot_year"), keep=["row_no"])
+    """Claims of the entity documents with their qualifier lists, given as texts."""
+    return _lists_as_text(extract_claims(table(spark, folder, "entity_docs"), "line", F.col("snapshot_year"), keep=["row_no"]))
 
 
-@query()
+@query(_claims_sql(", ".join(f"({_qualifier_sql(p, _day_text_sql)})[1] AS {c}" for p, c in {"P580": "start_time", "P582": "end_time", "P585": "point_in_time"}.items())))
 def claims_first_qualifiers(spark, folder):
     """The variant with the first valid day of each time qualifier."""
     return extract_claims(table(spark, folder, "entity_docs"), "line", F.col("snapshot_year"), keep=["row_no"], qualifier_mode="first")
@@ -411,6 +442,36 @@ def change_point_chains(spark, folder):
     return _turns(G.change_point(rich_best(spark, folder)[0]))
 
 
+# Orders as facts about customers, for families that the facts of the test tables give no row of.
+
+_ORDER_FACTS = """rich AS (SELECT 1998 AS snapshot_year, DATE '1998-01-01' AS anchor_date, CASE WHEN o_custkey % 4 = 0 AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'timeless' ELSE 'temporal' END AS truth_type, 'Customer ' || o_custkey AS subject_label, 'Q' || o_custkey AS subject_qid,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'P6' WHEN '2-HIGH' THEN 'P35' ELSE 'P108' END AS pid, 'Order ' || o_orderkey AS value_label, 'Q' || o_orderkey AS value_qid, CAST(year(o_orderdate) AS INT) AS year FROM orders)"""
+
+
+def _order_facts(spark: SparkSession, folder: str) -> DataFrame:
+    pid = F.when(F.col("o_orderpriority") == "1-URGENT", "P6").when(F.col("o_orderpriority") == "2-HIGH", "P35").otherwise("P108")
+    named = lambda word, key: F.concat(F.lit(word), F.col(key).cast("string"))
+    return table(spark, folder, "orders").select(
+        F.lit(1998).alias("snapshot_year"), F.to_date(F.lit("1998-01-01")).alias("anchor_date"), F.when((F.col("o_custkey") % 4 == 0) & (pid == "P108"), "timeless").otherwise("temporal").alias("truth_type"),
+        named("Customer ", "o_custkey").alias("subject_label"), named("Q", "o_custkey").alias("subject_qid"), pid.alias("pid"), named("Order ", "o_orderkey").alias("value_label"), named("Q", "o_orderkey").alias("value_qid"), F.year("o_orderdate").alias("year")
+    )
+
+
+@query(SQL["change_point_chains"].replace(S.FACTS, _ORDER_FACTS, 1).replace("WHERE year IS NOT NULL)", "WHERE year IS NOT NULL AND truth_type = 'temporal')", 1), "")
+def change_point_orders(spark, folder):
+    return _turns(G.change_point(_order_facts(spark, folder)))
+
+
+@query(
+    f"""WITH {_ORDER_FACTS}, n AS (SELECT anchor_date, truth_type, subject_label, pid, count(DISTINCT value_label) AS n FROM rich WHERE pid IN ({', '.join(repr(p) for p in S.COUNTED)}) GROUP BY ALL HAVING count(DISTINCT value_label) >= 2),
+q AS (SELECT *, 'How many ' || {S.plural('(' + S.by_pid('pid', 2) + ')')} || CASE truth_type WHEN 'timeless' THEN ' does ' || subject_label || ' have?' ELSE ' did ' || subject_label || ' have in 1998?' END AS question, CAST(n AS VARCHAR) AS answer FROM n)
+SELECT truth_type, anchor_date, subject_label, pid, question, answer FROM q WHERE {S.good_question('question', 'answer')}""",
+    "anchor_date",
+)
+def count_distinct_orders(spark, folder):
+    return G.count_distinct(_order_facts(spark, folder)).select("truth_type", *_KEYS)
+
+
 def _anchor_best(spark: SparkSession, folder: str) -> DataFrame:
     """Best rows at every anchor, with and without dates, with labels."""
     best = best_truth(build_truth(base_claims(spark, folder)))
@@ -579,11 +640,15 @@ def qa_quality_gate(spark, folder):
     return table(spark, folder, "labels").select("id", "label", "description", X.good_question(asked, F.col("label")).alias("good"))
 
 
-@query(f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY md5(replace(lower({S.squeeze('text')}), 'ς', 'σ'))")
+@query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY lower({S.squeeze('text')})")
 def question_dedup(spark, folder):
-    """Documents by their normal wording (the two forms of the Greek s count as one): the first of each and their number."""
-    key = F.md5(F.replace(X.question_key("text"), F.lit("ς"), F.lit("σ")))
-    return table(spark, folder, "documents").filter(F.col("text").isNotNull()).groupBy(key.alias("_k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("_k")
+    """Documents as questions, one of each wording: the first."""
+    none = F.lit(None).cast("string")
+    asked = table(spark, folder, "documents").filter(F.col("text").isNotNull()).select(
+        F.lit("direct").alias("family"), F.lit(1).alias("snapshot_year"), F.lit("1").alias("anchor_date"), F.lit("timeless").alias("truth_type"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.col("doc_id").alias("year"),
+        *(none.alias(c) for c in ("pid", "subject_label", "subject_qid", "value_label", "value_qid")), "doc_id"
+    )
+    return G.unique_questions(asked).select("doc_id")
 
 
 # Matching
@@ -721,18 +786,57 @@ def error_examples(spark, folder):
     return E.examples(_scored(spark, folder)).select("chain_id", "turn_index", "pred", "answer", "error_label")
 
 
-@query()
+# Three predictions a turn, turns without a present-day answer.
+
+_TOP3_SQL = f"""{_DIALOGUE_SQL}, three AS (SELECT * REPLACE (CASE WHEN CAST(chain_id AS BIGINT) % 7 = 0 THEN NULL ELSE present_day_answer END AS present_day_answer, CASE WHEN (CAST(chain_id AS BIGINT) + turn_index) % 3 = 0 THEN 'yyy' ELSE pred END AS pred), CASE WHEN turn_index % 5 = 0 THEN answer ELSE 'www' END AS pred2, COALESCE(present_day_answer, '') AS pred3 FROM asked),
+judged AS (SELECT *, COALESCE(present_day_answer, '') <> '' AS hp, {S.is_match('pred', 'answer')} AS c1, {S.is_match('pred2', 'answer')} OR {S.is_match('pred3', 'answer')} AS c23, {S.is_match('pred', "COALESCE(present_day_answer, '')")} AS p1, {S.is_match('pred2', "COALESCE(present_day_answer, '')")} OR {S.is_match('pred3', "COALESCE(present_day_answer, '')")} AS p23 FROM three),
+top3 AS (SELECT *, c1 OR c23 AS ck, hp AND NOT c1 AND p1 AS d1, hp AND NOT (c1 OR c23) AND (p1 OR p23) AS dk FROM judged)"""
+
+
+def _top3(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _asked(spark, folder)
+    chain = F.col("chain_id").cast("bigint")
+    first = F.when((chain + F.col("turn_index")) % 3 == 0, "yyy").otherwise(F.col("preds")[0])
+    second = F.when(F.col("turn_index") % 5 == 0, F.col("answer")).otherwise("www")
+    turns = turns.withColumn("preds", F.array(first, second, F.coalesce("present_day_answer", F.lit(""))))
+    return E.score(turns.withColumn("present_day_answer", F.when(chain % 7 != 0, F.col("present_day_answer"))))
+
+
+_SHARE = lambda a, b: f"round(CAST(sum(CAST({a} AS INT)) AS DOUBLE) / greatest(1, {b}), 6)"
+
+
+@query(
+    f"""WITH {_TOP3_SQL} SELECT family, count(*) AS n_turns, {_SHARE('c1', 'count(*)')} AS acc1, {_SHARE('ck', 'count(*)')} AS acck, {_SHARE('d1', 'sum(CAST(hp AS INT))')} AS drift1_rate, {_SHARE('dk', 'sum(CAST(hp AS INT))')} AS driftk_rate, {_SHARE('hp', 'count(*)')} AS present_rate FROM top3 GROUP BY family"""
+)
+def topk_metrics(spark, folder):
+    found = E.turn_metrics(E.overlaps(_top3(spark, folder))).filter(F.col("grouping") == "family")
+    return found.select(F.col("bucket").alias("family"), "n_turns", "acc1", "acck", "drift1_rate", "driftk_rate", "present_rate")
+
+
+@query(f"WITH {_TOP3_SQL} SELECT CASE WHEN c1 THEN 'correct' WHEN d1 THEN 'drift' WHEN NOT hp THEN 'hallucination' ELSE 'wrong_answer' END AS error_label, count(*) AS n FROM top3 GROUP BY 1")
+def error_labels(spark, folder):
+    return _top3(spark, folder).groupBy("error_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_DIALOGUE_SQL} SELECT chain_id, turn_index, follow_pos - 1 AS follow_pos, is_last FROM asked WHERE turn_index >= 1".replace("follow_pos - 1", "CAST(follow_pos - 1 AS INT)"))
+def scope_turns(spark, folder):
+    """Follow-up turns alone, their position counted from the first of them."""
+    return E.explode_turns(_dialogues(spark, folder), scope_turns_only=True).select("chain_id", "turn_index", "follow_pos", "is_last")
+
+
+@query(
+    f"""WITH {_DIALOGUE_SQL} SELECT chain_id, family, CAST(count(*) AS INT) AS n_turns, bool_and({S.good_question('question', 'answer')}) AND count(DISTINCT lower({S.squeeze('question')})) = count(*) AND (count(*) < 3 OR count(DISTINCT lower({S.squeeze('answer')})) > 1) AS good FROM turns GROUP BY chain_id, family"""
+)
 def chain_quality_gate(spark, folder):
     """Chains of orders and whether they pass the gate (questions differ, answers are no placeholders)."""
     return _dialogues(spark, folder).select("chain_id", "family", F.size("turns").alias("n_turns"), X.good_chain("turns").alias("good"))
 
 
-@query()
+@query(f"WITH {_DIALOGUE_SQL} SELECT DISTINCT chain_id, family, chain_length AS n_turns, present_day_answer FROM turns")
 def jsonl_roundtrip(spark, folder):
-    """Chains written as JSON lines into the checkpoint folder (a temporary one in tests) and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-")
+    """Chains written as JSON lines into the checkpoint folder and read again."""
     chains = _dialogues(spark, folder)
-    path = f"{base}/chains-{abs(hash((folder, spark.sparkContext.applicationId)))}"
+    path = f"{checkpoint_folder(spark)}/chains-{spark.sparkContext.applicationId}-{md5(folder.encode()).hexdigest()}"
     write_jsonl(chains, path)
     back = read_chains(spark, path, chains.schema)
     return back.select("chain_id", "family", F.size("turns").alias("n_turns"), "present_day_answer")

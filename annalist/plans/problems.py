@@ -117,6 +117,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return claim_snaks(table(spark, folder, "entity_docs"), "row_no", "line")
 
 
+_snak_text = lambda x, path: f"CASE WHEN json_type({x} -> '{path}') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string({x}, '{path}') END"
+
+
+def _snak_sql(x: str) -> str:
+    at = lambda k: _snak_text(x, f"$.datavalue.value.{k}")
+    item = f"COALESCE(CASE WHEN regexp_full_match({at('numeric-id')}, '[0-9]+') THEN 'Q' || {at('numeric-id')} END, 'Q' || TRY_CAST(regexp_extract({at('id')}, '^\\s*[Qq]([0-9]+)\\s*$', 1) AS HUGEINT), '')"
+    return f"""CASE WHEN COALESCE({_snak_text(x, '$.snaktype')}, 'value') <> 'value' THEN '' WHEN json_type({x} -> '$.datavalue.value') = 'VARCHAR' THEN json_extract_string({x}, '$.datavalue.value')
+  WHEN {at('entity-type')} = 'item' OR {at('entity-type')} IS NULL AND COALESCE({at('numeric-id')}, {at('id')}) IS NOT NULL THEN {item} ELSE COALESCE({at('time')}, {at('amount')}, {at('text')}, '') END"""
+
+
+_pid_sql = lambda p: f"COALESCE('P' || TRY_CAST(regexp_extract({p}, '^\\s*[Pp]([0-9]+)\\s*$', 1) AS BIGINT), {p})"
+P4_FOUND_SQL = f"""
+WITH r AS (SELECT row_no, regexp_replace(regexp_replace(line, '^[ \\t\\r\\n\\x{{FEFF}}\\x00]+|[ \\t\\r\\n\\x{{FEFF}}\\x00]+$', '', 'g'), ',$', '') AS t FROM entity_docs WHERE line IS NOT NULL),
+d AS (SELECT row_no, CASE WHEN json_valid(t) THEN t END AS t FROM r),
+docs AS (SELECT row_no, t -> '$.claims' AS claims FROM d WHERE json_type(t) = 'OBJECT' AND json_type(t -> '$.id') = 'VARCHAR' AND starts_with(t ->> '$.id', 'Q') AND json_type(t -> '$.claims') = 'OBJECT'),
+k AS (SELECT row_no, pid, claims -> pid AS list FROM (SELECT *, unnest(json_keys(claims)) AS pid FROM docs)),
+c AS (SELECT row_no, pid, claim_no, claim FROM (SELECT row_no, pid, unnest(range(CAST(json_array_length(list) AS BIGINT))) AS claim_no, unnest(from_json(list, '["JSON"]')) AS claim FROM k WHERE json_type(list) = 'ARRAY') WHERE json_type(claim) = 'OBJECT'),
+q AS (SELECT *, quals -> qual_pid AS list FROM (SELECT row_no, pid, claim_no, claim -> '$.qualifiers' AS quals, unnest(json_keys(claim -> '$.qualifiers')) AS qual_pid FROM c WHERE json_type(claim -> '$.qualifiers') = 'OBJECT')),
+s AS (SELECT * FROM (SELECT row_no, pid, claim_no, qual_pid, unnest(range(CAST(json_array_length(list) AS BIGINT))) AS qual_no, unnest(from_json(list, '["JSON"]')) AS snak FROM q WHERE json_type(list) = 'ARRAY') WHERE json_type(snak) = 'OBJECT')
+SELECT row_no, {_pid_sql('pid')} AS pid, CAST(claim_no AS INT) AS claim_no, '' AS qual_pid, CAST(-1 AS INT) AS qual_no, CASE WHEN json_type(claim -> '$.mainsnak') = 'OBJECT' THEN {_snak_sql("(claim -> '$.mainsnak')")} ELSE '' END AS snak_value FROM c
+UNION ALL SELECT row_no, {_pid_sql('pid')}, CAST(claim_no AS INT), {_pid_sql('qual_pid')}, CAST(qual_no AS INT), {_snak_sql('snak')} FROM s"""
+
+
 def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """The adjacency table of all lines."""
     return adjacency(table(spark, folder, "entity_docs"), "row_no", "line")
@@ -198,4 +221,4 @@ SELECT 'P' || p AS pid, 'Q' || up AS node_qid, 'Q' || node AS descendant_qid, CA
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p3_found, p3_report, p4_found, p4_nodes, p4_rejected, p5_found, p7_found, p7_hierarchies, p7_descendants)}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_hierarchies": P7_HIERARCHIES_SQL, "p7_descendants": P7_DESCENDANTS_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_report": P3_REPORT_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_hierarchies": P7_HIERARCHIES_SQL, "p7_descendants": P7_DESCENDANTS_SQL}

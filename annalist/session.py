@@ -15,6 +15,7 @@ def build_session(app: str = "annalist", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -27,17 +28,23 @@ def build_session(app: str = "annalist", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the cluster names and cut its lineage there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: that of the context, else ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where neither that setting nor a folder set on
-    the context exists (tests, a laptop) a temporary one is used.
+    Where neither is set, a local session (tests, a laptop) gets a temporary one; a cluster must name a folder that all its machines share.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="annalist-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder for checkpoints and cut its lineage there; Spark removes the files when the table is no longer used."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

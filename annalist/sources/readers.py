@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
+
 #: Lines in an outgoing batch of the zstd reader.
 LINES = 5000
 
 
 def list_shards(folder: str, year: int) -> list[str]:
     """Shards ``entities-<year>-part-*.jsonl.zst`` of a year in order; FileNotFoundError if there is none."""
-    found = sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.startswith(f"entities-{year}-part-") and n.endswith(".jsonl.zst")) if os.path.isdir(folder) else []
+    found = [f"{folder.rstrip('/')}/{n}" for n in storage.names(folder) if n.startswith(f"entities-{year}-part-") and n.endswith(".jsonl.zst")]
     if not found:
         raise FileNotFoundError(f"no shards of {year} in {folder}")
     return found
@@ -26,33 +28,37 @@ def list_shards(folder: str, year: int) -> list[str]:
 
 def find_raw_dump(folder: str) -> str:
     """The newest (last by path) .bz2 or .gz file below a folder; FileNotFoundError if there is none."""
-    found = sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.endswith((".bz2", ".gz")))
+    found = [p for p in storage.files_below(folder) if p.endswith((".bz2", ".gz"))]
     if not found:
         raise FileNotFoundError(f"no dump below {folder}")
     return found[-1]
 
 
 def read_zst_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path`` and ``line`` of zstd-compressed text files: one task a file, decompressed as a stream; blank lines drop out."""
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, list) else [paths]).select("path", "content")
+    """``path`` and ``line`` of zstd-compressed text files (paths or patterns): one task a file, which streams it from storage; blank lines drop out.
+
+    No file is ever held whole. The task opens a path by Arrow's file systems, so its scheme must be one of theirs.
+    """
+    found = [p for given in (paths if isinstance(paths, list) else [paths]) for p in storage.matching(given)]
+    if not found:
+        raise FileNotFoundError(f"no file at {paths}")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyarrow import fs
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                reader = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py())), encoding="utf-8")
-                lines: list[str] = []
-                for line in reader:
-                    if line := line.strip():
-                        lines.append(line)
-                    if len(lines) == LINES:
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(lines)], names=schema.names)
-                        lines = []
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())], names=schema.names)
+            for path in batch.column(0).to_pylist():
+                files, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                with files.open_input_stream(at, compression=None) as stream:
+                    reader = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True), encoding="utf-8")
+                    while lines := [x for line in islice(reader, LINES) if (x := line.strip()) or line]:
+                        kept = [x for x in lines if x]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(kept), pa.string()), pa.array(kept, pa.string())], names=schema.names)
 
-    return files.mapInArrow(run, schema)
+    files = spark.createDataFrame([(p,) for p in found], "path string")
+    return files.repartitionByRange(len(found), "path").mapInArrow(run, schema)
 
 
 def read_raw_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -65,10 +71,10 @@ def read_entities(spark: SparkSession, folder: str, year: int, source: str = "au
     """``line`` of a year's documents from shards (``stage0``), a raw dump (``raw``), or shards where there are any (``auto``)."""
     if source not in ("auto", "stage0", "raw"):
         raise ValueError(f"unknown source {source}")
-    shards = os.path.join(folder, "shards", str(year))
-    if source == "stage0" or source == "auto" and os.path.isdir(shards):
+    shards = f"{folder.rstrip('/')}/shards/{year}"
+    if source == "stage0" or source == "auto" and storage.is_folder(shards):
         return read_zst_lines(spark, list_shards(shards, year)).select("line")
-    return read_raw_dump(spark, find_raw_dump(os.path.join(folder, "raw", str(year))))
+    return read_raw_dump(spark, find_raw_dump(f"{folder.rstrip('/')}/raw/{year}"))
 
 
 def read_claims(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:

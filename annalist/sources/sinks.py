@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 #: Rows in a file of claims, and columns of the summary.
 ROWS_A_FILE = 400_000
-SUMMARY = ["context", "grouping", "bucket", "n_turns", "acc1", "acck", "drift1_rate", "driftk_rate", "drift_of_errors", "present_rate", "token_f1", "char3_f1"]
+SUMMARY = ["context", "grouping", "bucket", "n_turns", "acc1", "acck", "drift1_rate", "driftk_rate", "drift_of_errors", "present_rate", "token_f1", "char3_f1", "k", "n_chains", "final_acc1", "final_acck"]
 
 
 def write_claims(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,26 +40,32 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json_result(groups: dict[str, DataFrame], path: str, **about) -> None:
-    """Metric tables (a few rows each) with the run's arguments as one JSON file on the driver."""
+    """Metric tables (a few rows each) with the run's arguments as one JSON file."""
     result = {**about, "results": {k: [r.asDict(recursive=True) for r in d.collect()] for k, d in groups.items()}}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(result, f, ensure_ascii=False, indent=1, default=str)
+    storage.write_text(path, json.dumps(result, ensure_ascii=False, indent=1, default=str))
+
 
+def append_summary(path: str, model: str, context: str, metrics: DataFrame, chains: DataFrame | None = None, k: int = 1) -> None:
+    """Rows of ``turn_metrics``, with those of ``chain_metrics`` of the same bucket beside them, appended to a TSV file; ratios with six decimals.
 
-def append_summary(path: str, model: str, context: str, metrics: DataFrame) -> None:
-    """Rows of ``turn_metrics`` appended to a TSV file, ratios with six decimals; the header only where the file is new."""
-    new = not os.path.exists(path)
-    with open(path, "a", encoding="utf-8") as f:
-        if new:
-            f.write("\t".join(["model", *SUMMARY]) + "\n")
-        for r in metrics.orderBy("grouping", "bucket").collect():
-            values = [model, context, *(r[c] for c in SUMMARY[1:])]
-            f.write("\t".join(f"{v:.6f}" if isinstance(v, float) else str(v) for v in values) + "\n")
+    The header comes only where the file is new. The file is small and written anew, as object stores cannot append.
+    """
+    whole = {(r["grouping"], r["bucket"]): r for r in chains.collect()} if chains is not None else {}
+    text = storage.read_text(path) if storage.exists(path) else "\t".join(["model", *SUMMARY]) + "\n"
+    shown = lambda v: "" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
+    for r in metrics.orderBy("grouping", "bucket").collect():
+        c = whole.get((r["grouping"], r["bucket"]))
+        text += "\t".join(map(shown, [model, context, *(r[x] for x in SUMMARY[1:-4]), k, *((c[x] if c else None) for x in SUMMARY[-3:])])) + "\n"
+    storage.write_text(path, text)
 
 
 def write_manifest(path: str, **about) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(about, f, ensure_ascii=False, indent=1, default=str)
+    storage.write_text(path, json.dumps(about, ensure_ascii=False, indent=1, default=str))
+
+
+def job_totals(outputs: dict[str, DataFrame]) -> dict[str, int]:
+    """Number of rows of each output, for a manifest."""
+    return {name: df.count() for name, df in outputs.items()}
 
 
 def is_done(path: str) -> bool:
@@ -66,5 +73,6 @@ def is_done(path: str) -> bool:
 
     A write that replaces single partitions leaves no marker; it moves each finished partition into place at its commit.
     """
-    partition = "=" in os.path.basename(path.rstrip("/")) and os.path.isdir(path) and any(n.endswith(".parquet") or "=" in n for n in os.listdir(path))
-    return os.path.exists(os.path.join(path, "_SUCCESS")) or partition
+    held = storage.names(path)
+    partition = "=" in path.rstrip("/").rsplit("/", 1)[-1] and any(n.endswith(".parquet") or "=" in n for n in held)
+    return "_SUCCESS" in held or partition

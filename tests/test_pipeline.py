@@ -194,7 +194,7 @@ def test_sources_and_sinks(spark, tmp_path, rows):
     shards = tmp_path / "shards" / "2020"
     shards.mkdir(parents=True)
     for i in range(2):
-        (shards / f"entities-2020-part-0000{i}.jsonl.zst").write_bytes(zstandard.compress(f"{doc % i}\n\n{{bad\n".encode()))
+        (shards / f"entities-2020-part-0000{i}.jsonl.zst").write_bytes(zstandard.compress(f"{doc % i}\n\n{{bad\n".encode()) + zstandard.compress(b"\n[\n"))  # two frames
     raw = tmp_path / "raw" / "2021"
     raw.mkdir(parents=True)
     (raw / "a.json.bz2").write_bytes(bz2.compress(b"[\n" + (doc % 7).encode() + b",\n" + (doc % 8).encode() + b"\n]\n"))
