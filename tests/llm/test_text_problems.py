@@ -212,6 +212,35 @@ def test_survivors_follow_the_order(spark, tmp_path):
     assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
 
 
+def test_a_label_with_most_of_the_weight_survives(spark):
+    """What more than half of a group's weight agrees on wins every column, whatever the alignment; groups and counts by SQL."""
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{folder}/labels.parquet'")
+    rows = f"SELECT {queries.sql_item('id')} AS q, lang, NULLIF(trim(label), '') AS label, CASE WHEN deleted_at IS NULL THEN 2 ELSE 1 END AS w FROM labels"
+    want = con.execute(f"""WITH r AS (SELECT * FROM ({rows}) WHERE q IS NOT NULL AND label IS NOT NULL), v AS (SELECT q, lang, label, sum(w) AS w, count(*) AS n FROM r GROUP BY ALL)
+      SELECT 'Q' || q AS id, lang, sum(n) AS n_rows, count(*) AS n_values, max(w) * 2 > sum(w) AS most, arg_max(label, w) AS label FROM v GROUP BY q, lang""").fetchall()
+    got = {(r.id, r.lang): r for r in queries.p6_labels(spark, folder).collect()}
+    assert set(got) == {(i, lang) for i, lang, *_ in want}
+    for i, lang, n_rows, n_values, most, label in want:
+        r = got[i, lang]
+        assert (r.n_rows, r.n_values) == (n_rows, n_values) and (not most or (r.label, r.distance) == (label, 0))
+    assert sum(1 for x in want if x[4] and x[3] > 1) > 0
+
+
+def test_shares_tell_what_the_mix_used(spark):
+    """Shares against sums over the rows of the mix, made by SQL; no document beyond its repeats, no budget missed by more than a token."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    used, shares = queries.p9_mix(spark, folder).toPandas(), queries.p9_shares(spark, folder).toPandas()  # noqa: F841
+    con.execute(f"CREATE VIEW targets AS SELECT mix_name, lower(trim(source)) AS source, weight, max_repeats FROM '{folder}/mix_targets.parquet'")
+    bad = con.execute("""SELECT * FROM shares s LEFT JOIN (SELECT mix_name, source, sum(n_tokens * repeats) AS t, count(*) AS d, max(repeats) AS m FROM used GROUP BY ALL) u USING (mix_name, source) JOIN targets USING (mix_name, source)
+      WHERE COALESCE(t, 0) <> used_tokens OR COALESCE(d, 0) <> used_docs OR COALESCE(m, 0) > max_repeats OR gap_tokens NOT BETWEEN 0 AND 1""").fetchall()
+    assert not bad and len(shares) == 14 and used.groupby(["mix_name", "doc_id"]).size().max() == 1
+    apart = con.execute("""SELECT max(abs(real_share - w)) FROM (SELECT s.*, t.weight / sum(t.weight) OVER (PARTITION BY mix_name) AS w FROM shares s JOIN targets t USING (mix_name, source) WHERE available_tokens > 0)""").fetchone()[0]
+    assert apart < 0.001
+
+
 # Sentences
 
 CASES = [
@@ -251,6 +280,40 @@ def test_the_document_settles_its_own_words(parts):
     assert [text[s:e] for s, e in sentences.split_text(text)] == parts
 
 
+@pytest.mark.parametrize(
+    "text,ends",
+    [
+        ("The approx. is fine, an approx. five or approx. six will do. It weighs approx. Ten kilos were sold.", ["do.", "sold."]),
+        ("He met col. smith, col. jones and col. brown. Then col. Adams spoke.", ["brown.", "spoke."]),
+        ("An extraordinarilylongabbr. of ten, an extraordinarilylongabbr. for two. Ann led Extraordinarilylongabbr. Stone.", ["two.", "Stone."]),
+        ("She said " + "“" * 200 + "no" + "”" * 200 + ". He left.", ["”.", "left."]),
+        ("Rank " + "word " * 300 + "no. 7 of " + "more " * 300 + "no. 8. It ended.", ["8.", "ended."]),
+    ],
+)
+def test_a_documents_own_use_settles_its_words_at_any_length(text, ends):
+    got = [text[s:e] for s, e in sentences.split_text(text)]
+    assert len(got) == len(ends) and all(g.endswith(e) for g, e in zip(got, ends))
+
+
+def test_outlines_settled_by_verdicts_are_the_split_texts(spark):
+    """Whatever the corpus says, a document settled from its outline is split as its text would be with those verdicts; documents too open for an outline too."""
+    docs = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()] + ["Ab. Cd. " * 300, "ก ข " * 300]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(7)
+    flags = {r.kind: r.flags for r in sentences.corpus_verdicts(df, "doc_id", "text")[1].collect() if r.flags}
+    got: dict = {}
+    for r in sentences.split_sentences(df, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, []).append((r.sent_start, r.sent_end))
+    assert flags and all(sorted(got.get(i, [])) == sentences.split_text(t, flags) for i, t in enumerate(docs))
+    told = {k: f for k in flags for f in [sentences.NEVER_FINAL]}
+    for t in docs[:300]:
+        if t.strip():
+            document = sentences._Document(t)
+            fixed, places = document.outline()
+            assert sorted([*fixed, *sentences.settle(places, list(document.kinds), told)]) == sentences.split_text(t, told)
+    with pytest.raises(sentences.TooOpen):
+        sentences._Document(docs[-2]).outline()
+
+
 def test_the_document_comes_before_the_corpus():
     text = "An abtlg. of ten, an abtlg. for twenty. Ann led Abtlg. Stone.\n\nHe met Stone.\n\nHe is a prof.\n\nShe is a prof.\n\nHe met a prof. They left."
     flags = {"abtlg": sentences.CAN_END, "prof": sentences.NEVER_FINAL}
@@ -277,7 +340,7 @@ def test_long_text_is_quick():
     import time
 
     began = time.time()
-    for t in ("word " * 200_000, "a. " * 100_000, '("' * 100_000, "x\n" * 100_000, "「" * 50_000 + "。" * 50_000):
+    for t in ("word " * 200_000, "a. " * 100_000, "Ab. 1. " * 50_000, "ก ข " * 50_000, "Ab.Cd " * 50_000, '("' * 100_000, "x\n" * 100_000, "「" * 50_000 + "。" * 50_000):
         sentences.split_text(t)
     assert time.time() - began < 120
 
