@@ -292,3 +292,33 @@ def test_a_day_that_moves_between_lists_is_a_change(spark, rows):
 def test_a_parent_that_is_not_chosen_is_a_root(spark, rows):
     df = spark.createDataFrame([(1, 5, 2), (1, 5, 9), (1, 2, 1), (2, 3, 3), (2, 3, 7)], "t int, n bigint, up bigint")
     assert rows(hierarchy.hierarchy(df, "t", "n", "up")) == [(1, 1, 1, 0, (1,)), (1, 2, 1, 1, (1, 2)), (1, 5, 1, 2, (1, 2, 5)), (1, 9, 9, 0, (9,)), (2, 3, None, -1, None), (2, 7, 7, 0, (7,))]
+
+
+def test_nodes_rebuild_every_line_of_the_table(spark, sf):
+    """The adjacency table of all lines against what Python's json reads."""
+    from annalist.plans import problems
+
+    nodes: dict = {}
+    for r in problems.p4_nodes(spark, sf).collect():
+        nodes.setdefault(r.row_no, []).append(r)
+
+    def build(rows):
+        rows.sort(key=lambda r: r.node)
+        values = [{} if r.kind == "object" else [] if r.kind == "array" else r.scalar if r.kind == "string" else json.loads(r.scalar) if r.scalar is not None else None for r in rows]
+        for r, v in zip(rows, values, strict=True):
+            if r.parent >= 0:
+                box = values[r.parent]
+                box.__setitem__(r.label, v) if isinstance(box, dict) else box.append(v)
+        return values[0]
+
+    kept = 0
+    for row_no, line in spark.read.parquet(f"{sf}/entity_docs.parquet").select("row_no", "line").collect():
+        text = (line or "").strip(" \t\r\n\ufeff\x00").removesuffix(",")
+        try:
+            want = json.loads(text)
+        except ValueError:
+            assert row_no not in nodes
+        else:
+            kept += 1
+            assert build(nodes[row_no]) == want
+    assert kept > 20
