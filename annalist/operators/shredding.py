@@ -105,7 +105,7 @@ def read_line(line: str | None) -> tuple[object, str | None]:
         text = text[:-1].rstrip()
     if not text:
         return None, "blank"
-    if text in "[]":
+    if text in ("[", "]"):
         return None, "bracket of a dump"
     try:
         return _JSON.decode(text), None

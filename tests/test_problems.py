@@ -269,7 +269,7 @@ def test_adjacency_round_trip(spark):
 @pytest.mark.parametrize("name", sorted(problems.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("claims", "temporal_facts", "labels"):
+    for t in ("claims", "temporal_facts", "labels", "entity_docs"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(problems.SQL[name]).df()
     got = problems.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
