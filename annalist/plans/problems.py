@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_text, days_of, sql_day, sql_days
+from ..functions.dates import day_text, days_of, sql_days
 from ..functions.ids import item_id, item_number, property_id, property_number, rank_name, sql_item, sql_property, sql_rank
 from ..operators.hierarchy import descendants, hierarchy
 from ..operators.history import build_history
